@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, quality_rules, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, quality_rules, token_output, url_filter
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; it is read in place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +58,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -60,7 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op5_decontaminate, op6_language_id, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
