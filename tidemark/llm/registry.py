@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, quality_rules, token_output, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, near_dedup, quality_rules, token_output, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -48,6 +48,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.statistics(docs), rules).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
+
+
+OP3_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS g FROM t
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), rare AS (
+  SELECT s.doc_id, s.g, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.c, s.g) AS r, n.n FROM s JOIN (SELECT g, count(*) AS c FROM s GROUP BY g) f ON s.g = f.g JOIN n ON s.doc_id = n.doc_id
+), p AS (
+  SELECT * FROM rare WHERE r <= n - ceil(0.8 * n - 1e-9) + 1
+), c AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), i AS (
+  SELECT c.a, c.b, count(*) AS x FROM c JOIN s y ON y.doc_id = c.a JOIN s z ON z.doc_id = c.b AND z.g = y.g GROUP BY c.a, c.b
+), e AS (
+  SELECT i.a, i.b FROM i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * i.x >= 80 * (p.n + q.n - i.x)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), best AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, best.component_id, d.doc_id = best.component_id AS kept
+FROM documents d JOIN best ON best.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,8 +104,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_near_dedup, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_near_dedup": OP3_SQL}
