@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, near_dedup, quality_rules, token_output, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, near_dedup, quality_rules, suffix_dedup, token_output, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -99,12 +99,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_near_dedup, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_near_dedup, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op9_suffix_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
