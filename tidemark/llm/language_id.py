@@ -199,7 +199,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def predictor(model: Model, id_col: str):
+def predictor(model: Model, names_out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"], object)
         k = len(model.langs)
@@ -219,15 +219,18 @@ def predictor(model: Model, id_col: str):
                     lettered[i] = any(c.isalpha() for c in bytes(buf[offs[i] : offs[i + 1]]).decode(errors="replace"))
                 best = np.where(lettered, best, k)
                 score = np.where(best < k, mean[np.arange(n), np.minimum(best, max(k - 1, 0))] if k else 0.0, 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), *(c[lo:hi] for c in b.columns[2:])], names_out)
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, lang_pred, score; from the text alone."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(predictor(model, id_col), f"`{id_col}` {kind}, lang_pred string, score double")
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, lang_pred, score; from the text alone. ``extra`` columns go along as they are."""
+    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra))]
+    names = ["id", "lang_pred", "score", *(f"x{i}" for i in range(len(extra)))]
+    kinds = [docs.schema[id_col].dataType.simpleString(), "string", "double", *(docs.schema[c].dataType.simpleString() for c in extra)]
+    got = docs.select(*cols).mapInArrow(predictor(model, names), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return got.select(F.col("id").alias(id_col), "lang_pred", "score", *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

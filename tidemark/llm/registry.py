@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, near_dedup, quality_rules, suffix_dedup, token_output, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, near_dedup, piece_sampling, quality_rules, suffix_dedup, token_output, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -81,6 +81,10 @@ FROM documents d JOIN best ON best.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.segment(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -108,7 +112,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_near_dedup, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op9_suffix_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_near_dedup, op4_sentencepiece, op5_decontaminate, op6_language_id, op7_token_output, op8_url_filter, op9_suffix_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
