@@ -1,9 +1,5 @@
-"""Named query plans."""
+"""Named queries over the tables, and the SQL that they are checked against."""
 
+from .catalog import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]

@@ -1 +1 @@
-""""""
+"""The event layer on Structured Streaming."""
