@@ -126,10 +126,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     by = by.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > slack).cast("int"), F.lit(0))).withColumn("band", F.sum("new").over(w))
     band = by.groupBy("row", *head, "tid", "band").agg(F.array_distinct(F.flatten(F.collect_list("tposes"))).alias("tposes"), F.min("first").alias("first"), F.max("last").alias("last"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("tposes", lambda p: F.sequence(p, p + k - 1)))))
-    band = band.join(info, "tid", "left").withColumn("cover", covered / F.col("size"))
+    band = band.join(info, "tid", "left").withColumn("votes", covered).withColumn("cover", F.col("votes") / F.col("size"))
     good = (F.col("cover") >= min_cover) & (F.col("last") - F.col("first") + k <= 2 * F.col("size"))
-    band = band.withColumn("span", F.when(good, F.struct("label", "first", (F.col("last") + (k - 1)).alias("last"), "cover")))
+    band = band.withColumn("span", F.when(good, F.struct("label", "first", (F.col("last") + (k - 1)).alias("last"), "cover", "votes")))
     voted = band.groupBy("row", *head).agg(F.array_sort(F.collect_list("span")).alias("spans")).drop("row")
+    # words that two templates claim go to the one with more votes
+    less = lambda s, o: (o["votes"] > s["votes"]) & (o["first"] <= s["last"]) & (s["first"] <= o["last"])
+    voted = voted.withColumn("spans", F.filter("spans", lambda s: ~F.exists("spans", lambda o: less(s, o))))
     names = F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(label)) for i, (_, label) in enumerate(phrases)))
     own = F.array_sort(F.array_distinct(F.array_compact(names)))
     return voted.select(
