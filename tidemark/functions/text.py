@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +21,6 @@ def text_or_empty(c: Column) -> Column:
 
 def nfkc(c: Column) -> Column:
     """Unicode compatibility composition, for texts that need it; the one Arrow function here."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
@@ -155,13 +154,17 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + out + "$"
 
 
+def _fits(pattern: str):
+    return lambda t: t.rlike(pattern)
+
+
 def ignored_path(path: Column, globs: list[str]) -> Column:
     """Whether a glob fits the whole path, its basename or a parent folder."""
     parts = F.split(path, "/")
     tries = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")), F.array(basename(path)))
     out = F.lit(False)
-    for g in globs:
-        out = out | F.exists(tries, lambda t, g=g: t.rlike(glob_regex(g)))
+    for pattern in map(glob_regex, globs):
+        out = out | F.exists(tries, _fits(pattern))
     return out
 
 
