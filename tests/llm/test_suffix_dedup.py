@@ -68,6 +68,6 @@ def test_every_window_has_one_anchor():
     r = random.Random(4)
     buf = np.frombuffer(bytes(r.choice(b"abc ") for _ in range(5000)), np.uint8)
     offs = np.array([0, 0, 100, 2000, 5000])
-    d, fp, sh, first, count, off = S.anchors(buf, offs, 200, 32)
+    d, fp, sh, first, count, off = S.anchors(buf, offs, 200, 64)
     assert Counter(np.repeat(d, count).tolist()) == {2: 1701, 3: 2801}
-    assert all((off - (count - 1) >= 0) & (off <= 168))
+    assert all((off - (count - 1) >= 0) & (off <= 136))

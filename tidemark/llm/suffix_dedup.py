@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkit as tk
 
-LENGTH, GRAM, BLOCK, INDEX_BYTES, SEEN_BITS = 200, 32, 4096, 1 << 20, 22
+LENGTH, GRAM, BLOCK, INDEX_BYTES, SEEN_BITS = 200, 64, 4096, 1 << 20, 22
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -165,16 +165,31 @@ class RunLengthIndex:
         key = rank.astype(np.uint64) * tk.U64(8 * m + 1) + np.where(self.left < 8, self.left * m + number, 8 * m).astype(np.uint64)
         order = np.argsort(key)
         rank = self._ranks(key, order)
+        # a rank is the number of lesser suffixes; only suffixes that share theirs are sorted further
+        count = np.bincount(rank)
+        open_ = np.flatnonzero((count > 1)[rank])
+        rank = (np.cumsum(count) - count)[rank]
         self.levels, step = [(8, rank)], 8
         top = int(size.max(initial=1))
-        while step <= top and rank.max(initial=0) < n - 1:
-            second = np.zeros(n, np.int64)
-            second[:-step] = rank[step:] + 1
-            key = rank.astype(np.uint64) * tk.U64(n + 1) + second.astype(np.uint64)
-            order = np.argsort(key)
-            rank = self._ranks(key, order)
+        while step <= top and len(open_):
+            after = open_ + step
+            second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            key = rank[open_].astype(np.uint64) * tk.U64(n + 1) + second.astype(np.uint64)
+            o = np.argsort(key)
+            key, at = key[o], open_[o]
+            old = rank[at]
+            place = np.arange(len(at))
+            new, group = np.ones(len(at), bool), np.ones(len(at), bool)
+            new[1:], group[1:] = key[1:] != key[:-1], old[1:] != old[:-1]
+            run = np.maximum.accumulate(np.where(new, place, 0))
+            rank = rank.copy()
+            rank[at] = old + run - np.maximum.accumulate(np.where(group, place, 0))
+            lone = new & np.append(new[1:], True)
+            open_ = at[~lone]
             step *= 2
             self.levels.append((step, rank))
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
         self.order, self.n, self.sym = order, n, sym
 
     @staticmethod
@@ -186,22 +201,22 @@ class RunLengthIndex:
         rank[order] = np.cumsum(new)
         return rank
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common symbols of suffixes, up to either's separator."""
+    def _common(self, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+        """Common symbols of suffixes, up to either's separator; short of ``least`` they may be counted too low."""
         most = np.minimum(self.left[a], self.left[b])
         got = np.zeros(len(a), np.int64)
         for step, rank in reversed(self.levels):
             x, y = np.minimum(a + got, self.n - 1), np.minimum(b + got, self.n - 1)
             got += np.where((rank[x] == rank[y]) & (got + step <= most), step, 0)
-        live = np.flatnonzero(got < most)
+        live = np.flatnonzero((got < most) & (got + 8 > least))
         for _ in range(8):
             live = live[self.sym[a[live] + got[live]] == self.sym[b[live] + got[live]]] if len(live) else live
             got[live] += 1
             live = live[got[live] < most[live]]
         return got
 
-    def matches(self) -> np.ndarray:
-        """For each text position, its longest match that starts at another."""
+    def matches(self, least: int = 0) -> np.ndarray:
+        """For each text position, its longest match that starts at another; values under ``least`` are lower bounds. A match one position on is shorter by one at most, so none of ``least`` follows from one below it."""
         sa, n = self.order, self.n
         bwt = np.where(sa > 0, self.sym[np.maximum(sa - 1, 0)], 0).astype(np.int64)
         ends = (sa == 0) | (self.left[np.maximum(sa - 1, 0)] == 0)  # preceded by a separator, which equals none
@@ -218,7 +233,7 @@ class RunLengthIndex:
             value = np.full(n, -1, np.int64)
             edge = np.flatnonzero(sample)
             value[sa[edge]] = 0
-            value[sa[rows]] = self._common(sa[rows], sa[rows + side])
+            value[sa[rows]] = self._common(sa[rows], sa[rows + side], least)
             last = np.maximum.accumulate(np.where(value >= 0, at, 0))
             best = np.maximum(best, np.maximum(value[last] - (at - last), 0))
         return best
@@ -235,7 +250,7 @@ def _index(length: int):
 
         def flush() -> pa.RecordBatch:
             index = RunLengthIndex([h[5] for h in held])
-            hit = index.matches() >= length
+            hit = index.matches(length) >= length
             out: list[np.ndarray] = []
             for h, s in zip(held, index.start, strict=True):
                 if h[4] == 1:
