@@ -39,7 +39,9 @@ def bm25(query, keep=lambda i: True):
 
 
 @pytest.mark.parametrize("q", ["red planet", "red red planet", "planet", "nothing here", "SORTING the lists"])
-def test_bm25_is_the_formula(spark, chunks, q):
+@pytest.mark.parametrize("terms", [50_000, 0])
+def test_bm25_is_the_formula(spark, chunks, q, terms, monkeypatch):
+    monkeypatch.setattr(lexical, "QUERY_TERMS", terms)
     got = lexical.search(ask(spark, q), chunks, 10).orderBy("rank").collect()
     assert [(r["chunk_id"], r["score"]) for r in got] == bm25(q)
 

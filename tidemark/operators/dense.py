@@ -49,12 +49,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id
     kept = vectors.where(common.matches(filters)) if filters else vectors
     rows = kept.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector_col).alias("v"))
     asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
-    total = asked.count()
-    parts = max(1, -(-total // block))
+    head = asked.limit(block + 1).toPandas()
+    parts = 1 if len(head) <= block else -(-asked.count() // block)
     out = None
     for i in range(parts):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else asked
-        q = mine.toPandas()
+        q = head if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()
         if not len(q):
             continue
         ids = q["query_id"].to_numpy(np.int64)

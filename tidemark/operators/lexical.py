@@ -2,14 +2,20 @@
 
 ``index`` keeps postings (token, chunk_id, tf), term_stats (token, df, idf) and doc_stats
 (chunk_id, dl); statistics cover all chunks, filters apply when scoring. ``search`` needs no
-stored index: it explodes only tokens that some query has, after taking lengths from the token
-arrays, so a corpus pass writes few postings. Repeated query tokens count repeatedly.
+stored index. Up to ``QUERY_TERMS`` query terms are broadcast: one pass counts their frequencies,
+a second scores each partition's chunks for all queries in numpy and passes on the k best, so no
+(query, chunk) pair is shuffled. Beyond that, ``scores`` does it by joins. Repeated query tokens
+count repeatedly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +23,9 @@ from .. import config
 from ..functions import text as T
 from . import common
 
+#: (query, term) rows that are broadcast at most; more go by joins.
+QUERY_TERMS = 50_000
+
 
 @dataclass
 class Index:
@@ -62,11 +71,15 @@ def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -
     return Index(postings(chunks, id_col, text_col), term_stats(chunks, id_col, text_col), doc_stats(chunks, id_col, text_col), n, avgdl)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
 def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", filters: dict | None = None) -> DataFrame:
-    """(query_id, chunk_id, score > 0); ``queries`` has query_id and query."""
+    """(query_id, chunk_id, score > 0) by joins alone, for any number of queries; ``queries`` has query_id and query."""
+    asked = _asked(queries)
+    words = asked.select("token").distinct()
     n, avgdl = corpus(chunks, id_col, text_col)
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    words = common.small(asked.select("token").distinct())
     keep = common.matches(filters or {})
     all_ = chunks.select(F.col(id_col).alias("chunk_id"), T.tokens(F.col(text_col)).alias("toks"), F.coalesce(keep, F.lit(False)).alias("kept"))
     met = all_.select("chunk_id", "kept", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("token")).join(words, "token")
@@ -75,11 +88,61 @@ def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text
     k1, b = config.BM25_K1, config.BM25_B
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.lit(float(avgdl))))
     part = tf.where("kept").join(df, "token").withColumn("w", idf("df", n) * weight)
-    hit = part.join(common.small(asked), "token")
-    return hit.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).where("score > 0")
+    return part.join(asked, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).where("score > 0")
+
+
+def _score(held, k: int):
+    """Scores a partition's chunks for all queries at once and keeps the k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, vocab, weight, first, query, qtf, avgdl = held.value
+        nq = len(qids)
+        best_s, best_c = np.zeros((nq, 0)), np.zeros((nq, 0), np.int64)
+        k1, b1 = config.BM25_K1, config.BM25_B
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                ids, dl, toks = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(float), b.column(2)
+                n = len(ids)
+                at = pc.index_in(toks.flatten(), vocab)
+                doc = np.repeat(np.arange(n), pc.list_value_length(toks).to_numpy(zero_copy_only=False))
+                ok = np.asarray(at.is_valid())
+                key, tf = np.unique(doc[ok] * len(vocab) + at.drop_null().to_numpy(), return_counts=True)
+                d, t = key // len(vocab), key % len(vocab)
+                w = weight[t] * (tf * (k1 + 1) / (tf + k1 * ((1 - b1) + b1 * dl[d] / avgdl)))
+                many = first[t + 1] - first[t]
+                e = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[t], many)
+                s = np.bincount(query[e] * n + np.repeat(d, many), qtf[e] * np.repeat(w, many), minlength=nq * n).reshape(nq, n).round(6)
+                s = np.concatenate([best_s, s], 1)
+                c = np.concatenate([best_c, np.broadcast_to(ids, (nq, n))], 1)
+                top = np.lexsort((c, -s), axis=1)[:, :k]
+                best_s, best_c = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        keep = best_s > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[:, None], keep.shape)[keep]), pa.array(best_c[keep]), pa.array(best_s[keep])], ["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 10, id_col: str = "chunk_id", text_col: str = "text", filters: dict | None = None) -> DataFrame:
     """The k best chunks of each query: query_id, chunk_id, score (6 places), rank, origin."""
-    found = common.top_k(scores(queries, chunks, id_col, text_col, filters), k)
-    return found.withColumn("origin", F.lit("bm25"))
+    asked = _asked(queries)
+    rows = asked.limit(QUERY_TERMS + 1).toPandas()
+    if len(rows) > QUERY_TERMS or chunks.schema[id_col].dataType.simpleString() != "bigint":
+        return common.top_k(scores(queries, chunks, id_col, text_col, filters), k).withColumn("origin", F.lit("bm25"))
+    spark = queries.sparkSession
+    rows = rows.sort_values(["token", "query_id"])
+    vocab = sorted(set(rows["token"]))
+    words = F.broadcast(spark.createDataFrame([(w,) for w in vocab], "token string"))
+    toks = chunks.select(F.col(id_col).alias("chunk_id"), T.tokens(F.col(text_col)).alias("toks"), F.coalesce(common.matches(filters or {}), F.lit(False)).alias("kept"))
+    # one pass for the statistics: the empty token counts chunks and their lengths
+    seen = toks.select(F.size("toks").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("token"))
+    counts = seen.join(words.unionByName(spark.createDataFrame([("",)], "token string")), "token").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    df = {r["token"]: (r["df"], r["dl"]) for r in counts.collect()}  # a row for each query term at most
+    n, total = df.get("", (0, 0))
+    weight = np.array([np.log(1.0 + (n - df.get(w, (0, 0))[0] + 0.5) / (df.get(w, (0, 0))[0] + 0.5)) for w in vocab])
+    qids, query = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
+    at = np.searchsorted(np.array(vocab, object), rows["token"].to_numpy(object))
+    first = np.searchsorted(at, np.arange(len(vocab) + 1))
+    held = spark.sparkContext.broadcast((qids, pa.array(vocab, pa.string()), weight, first, query, rows["qtf"].to_numpy(float), total / n if n and total else 1.0))
+    found = toks.where("kept").select("chunk_id", F.size("toks").cast("long"), "toks").mapInArrow(_score(held, k), "query_id long, chunk_id long, score double")
+    return common.top_k(found, k).withColumn("origin", F.lit("bm25"))

@@ -15,6 +15,8 @@ from ..streaming import events
 from . import recall, samples
 from . import sql as S
 
+#: Files below this size have too few row groups for the cores that read them.
+SPREAD_BYTES = 64 << 20
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -36,7 +38,16 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A table; a text table too small to fill the cores with its row groups is spread over them."""
+        at = f"{self.dir}/{name}.parquet"
+        df = self.spark.read.parquet(at)
+        if name in ("documents", "pages"):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+            size = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+            cores = self.spark.sparkContext.defaultParallelism
+            if 1 << 19 < size < SPREAD_BYTES:
+                df = df.repartition(cores)
+        return df
 
     def asked(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

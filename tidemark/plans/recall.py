@@ -25,7 +25,7 @@ def evidence(queries: DataFrame, records: DataFrame, k: int = 12, kinds: tuple[s
     asked = dense.hashed_vectors(queries, "query_id", "query").select(F.col("id").alias("query_id"), "vector")
     vec = dense.hashed_vectors(rows.where(common.matches(want)), "record_id", "indexed")
     den = dense.search(asked, vec, cfg.k_dense, "id", "vector")
-    found = fusion.evidence(den, lex, k)
+    found = fusion.evidence(den, lex, k).persist()  # k rows for each query; counted, then joined
     return rows.drop("indexed").join(common.small(found), "record_id")
 
 
