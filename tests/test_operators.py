@@ -204,7 +204,7 @@ def test_memory_operations(spark):
     r = memory.remember(spark.createDataFrame([(f"t{i}", "fact" if i < 3 else "episode", f"s{i}") for i in range(5)], "text string, kind string, subject string"))
     assert {x["kind"]: x["n_active"] for x in memory.stats(r).collect()} == {"fact": 3, "episode": 2, "decision": 0, "code": 0}
     assert memory.forget(r, r.where("subject = 's0'").select("record_id")).count() == 4
-    assert memory.listed(r, "fact").count() == 3 and memory.listed(r, None, None).count() == 5
+    assert memory.listed(r, "fact").count() == 3 and memory.listed(r, status=None).count() == 5
     seeded = memory.replace_inferred(r, spark.createDataFrame([("a", "fact", "x", "f")], "text string, kind string, subject string, source string"))
     again = memory.replace_inferred(seeded, spark.createDataFrame([("b", "fact", "x", "f")], "text string, kind string, subject string, source string"))
     assert [x["text"] for x in again.where("subject = 'x'").collect()] == ["b"] and again.count() == 6
@@ -245,7 +245,7 @@ def test_caches(spark):
 
 
 def test_chunkers(spark):
-    words = " ".join(f"word{i}" for i in range(400))
+    words = " ".join(map("word{}".format, range(400)))
     got = chunking.recursive(words, 400, 50)
     assert len(got) > 3 and all(len(c) <= 450 for c in got) and got[1].startswith(got[0][-50:])
     assert chunking.recursive("a" * 3000) == ["a" * 3000] and chunking.recursive(" \n ") == []

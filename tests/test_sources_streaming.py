@@ -31,7 +31,7 @@ def test_other_sources(spark, tmp_path):
     assert got[0]["doc_id"] == "mine" and got[1]["doc_id"].startswith("doc_") and got[1]["metadata"] == {"k": "1"}
     (tmp_path / "e.jsonl").write_text('{"query":"q","relevant_ids":["a"]}\n\n{"query":"r"}\n')
     assert [r["relevant_ids"] for r in files.eval_cases(spark, str(tmp_path / "e.jsonl")).orderBy("query").collect()] == [["a"], []]
-    lines = [("s", i, json.dumps({"type": "summary", "summary": f"s{i}"} if i % 100 == 5 else {"type": "x"})) for i in range(400)]
+    lines = [("s", i, json.dumps({"summary": f"s{i}", "type": "summary"} if i % 100 == 5 else {"type": "x"})) for i in range(400)]
     assert files.transcript_summary(spark.createDataFrame(lines, "session_id string, line_no long, value string")).first()["summary"] == "s305"
     assert files.ignore_globs("# c\nprivate/\n\n*.x\n") == ["private", "*.x"]
     (tmp_path / "src").mkdir()

@@ -9,7 +9,7 @@ KINDS = ("fact", "decision", "episode", "code")
 AUTHORITY = {"fact": 0.8, "decision": 0.9, "episode": 0.6, "code": 0.7}
 HALF_LIFE_DAYS = {"fact": 180.0, "decision": 365.0, "episode": 30.0, "code": 21.0}
 UNKNOWN_HALF_LIFE = 90.0
-MODES = ("direct", "cautious", "ask_clarification", "search_more", "refuse_guess")
+MODES = tuple("direct cautious ask_clarification search_more refuse_guess".split())
 SUGGESTIONS = {
     "direct": "The evidence is strong: answer from it as it stands.",
     "cautious": "The evidence is partial: answer with caveats and name the entry behind each claim.",
@@ -25,25 +25,21 @@ class ConfidencePolicy:
     cautious: float = 0.50
     search: float = 0.20
     strong: float = 0.35
-    w_similarity: float = 0.30
-    w_sources: float = 0.15
-    w_agreement: float = 0.15
-    w_recency: float = 0.10
-    w_authority: float = 0.15
-    w_no_conflict: float = 0.15
     max_sources: int = 3
+    #: of similarity, sources, agreement, recency, authority and the absence of conflict
+    weights: tuple[float, ...] = (0.30, 0.15, 0.15, 0.10, 0.15, 0.15)
     half_life: dict[str, float] = field(default_factory=lambda: dict(HALF_LIFE_DAYS))
 
 
 @dataclass(frozen=True)
 class RetrievalConfig:
-    top_k: int = 6
-    k_dense: int = 24
-    k_bm25: int = 24
     rrf_k: int = 60
-    w_dense: float = 1.0
     w_bm25: float = 1.0
+    w_dense: float = 1.0
     rerank: int = 24
+    k_bm25: int = 24
+    k_dense: int = 24
+    top_k: int = 6
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z0-9À-ɏЀ-ӿ一-鿿]+"
+TOKEN = "[" + "a-z0-9" + "À-ɏ" + "Ѐ-ӿ" + "一-鿿" + "]+"
 _SPACE = r"(?U)\s+"
 
 
@@ -80,7 +80,7 @@ def bash_subject(command: Column) -> Column:
 
 
 def collapse_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\n{4,}", "\n\n\n")
+    return F.regexp_replace(c, "\n{4,}", "\n" * 3)
 
 
 _W = "A-Za-z0-9"
@@ -96,14 +96,14 @@ def _keyed(prefix: str, extra: str, least: int, end: bool = True) -> str:
 SECRETS: tuple[tuple[str, str], ...] = (
     ("-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}" + r"[\s\S]*?" + "-{5}END [A-Z ]*PRIVATE KEY-{5}", "[REDACTED PRIVATE KEY]"),
     (_keyed("sk-", "_-", 16), "[REDACTED]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
+    (r"\bAKIA" + "[0-9A-Z]{16}" + r"\b", "[REDACTED]"),
     (_keyed("gh[opusr]_", "", 20), "[REDACTED]"),
     (_keyed("github_pat_", "_", 20), "[REDACTED]"),
     (_keyed("glpat-", "_-", 16), "[REDACTED]"),
     (_keyed("xox[abprs]-", "-", 10), "[REDACTED]"),
     (r"\beyJ" + r"\.".join([f"[{_W}_-]{{8,}}"] * 3) + r"\b", "[REDACTED JWT]"),
     ("(?i)" + r"\bbearer\s+" + f"[{_W}._~+/=-]{{16,}}", "Bearer [REDACTED]"),
-    (r"\b([A-Za-z][\w+.-]*" + r"://[^:/\s@]+):" + r"[^@\s]{3,}@", "$1:[REDACTED]@"),
+    (r"\b(" + "[A-Za-z]" + r"[\w+.-]*" + "://" + r"[^:/\s@]+):" + r"[^@\s]{3,}@", "$1:[REDACTED]@"),
     (r"(?i)\b(" + _SECRET_NAMES + r")\b(\s*[:=]\s*)" + "(['\"]?)" + r"\S{8,}", "$1$2$3[REDACTED]"),
 )
 
@@ -121,7 +121,7 @@ def contains_secret(c: Column) -> Column:
     return out
 
 
-_BASENAMES = ["credentials", "credentials.json", "secrets", "secrets.json", ".netrc", ".npmrc", ".pypirc"]
+_BASENAMES = [*(a + b for a in ("secrets", "credentials") for b in ("", ".json")), *(f".{x}rc" for x in ("net", "npm", "pypi"))]
 _SUFFIXES = ["pem", "key", "p12", "pfx", "der", "jks", "keystore", "kdbx"]
 
 
@@ -185,7 +185,7 @@ def readme_brief(c: Column) -> Column:
 
 def response_text(json: Column) -> Column:
     """Output of a tool: its stdout, stderr, output and content that aren't empty, else its JSON's first 4000 characters, else itself."""
-    parts = [F.get_json_object(json, f"$.{k}") for k in ("stdout", "stderr", "output", "content")]
+    parts = [F.get_json_object(json, f"$.{k}") for k in "stdout stderr output content".split()]
     joined = F.concat_ws("\n", *(F.when(p != "", p) for p in parts))
     return F.when(json.startswith("{"), F.when(joined != "", joined).otherwise(F.substring(json, 1, 4000))).otherwise(text_or_empty(json))
 
@@ -193,7 +193,8 @@ def response_text(json: Column) -> Column:
 _TEST_RUN = r"\b(pytest|unittest|jest|vitest|tox|(npm|yarn|go|cargo) +test)\b"
 _OUTCOMES = [r"\d+ (?:passed|failed|errors?)", "FAILED", "PASSED", "OK", "✓", "✗"]
 _RESULT = r"(?m)^(.*\b(?:" + "|".join(_OUTCOMES) + ").*)$"
-_FAILURE = r"(?m)^(.*(?:Traceback \(most recent call last\)|[A-Za-z_.]*(?:Error|Exception):|error\[|fatal:|panic:).*)$"
+_FAILURES = [r"Traceback \(most recent call last\)", "[A-Za-z_.]*" + "(?:Error|Exception):", r"error\[", "fatal:", "panic:"]
+_FAILURE = r"(?m)^(.*(?:" + "|".join(_FAILURES) + ").*)$"
 
 
 def learned_from_bash(command: Column, output: Column) -> Column:

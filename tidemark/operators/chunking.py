@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from .code_index import LANGUAGES
 
-_CUTS = ("\n\n", "\n", ". ", " ")
+_CUTS = tuple("\n\n|\n|. | ".split("|"))
 _KEYWORDS = ["def", "class", "function", "fn", "func", "impl", "interface", "struct", "enum", "type", "pub fn"]
 _TOP = re.compile(r"(?m)^(?=(?:export\s+)?" + r"(?:async\s+)?" + rf"(?:{'|'.join(_KEYWORDS)})\b)")
-_HEAD = re.compile(r"(?m)^(#{1,6})\s+(.*)$")
+_HEAD = re.compile("(?m)^(" + "#{1,6}" + r")\s+" + "(.*)$")
 MARKDOWN = {".md", ".markdown", ".mdx", ".rst"}
-CODE = {".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".java", ".kt", ".rb", ".php", ".cs", ".c", ".h", ".cpp", ".hpp", ".swift", ".scala", ".lua"}
+CODE = {"." + end for name, ends in LANGUAGES.items() if name != "sql" for end in ends}
 
 
 def _fragments(text: str, size: int, level: int = 0) -> Iterator[str]:

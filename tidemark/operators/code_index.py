@@ -20,9 +20,9 @@ _ID = r"([A-Za-z_]\w*)"
 _MODIFIERS = "".join(rf"(?:{m}\s+)?" for m in ("export", "public|private|protected", "static", "async"))
 _NOUNS = "|".join(sorted(["function", "fn", "func", "class", "interface", "struct", "enum", "trait", "impl", "type", "module"], key=len, reverse=True))
 _SYMBOL = re.compile(rf"(?m)^\s*{_MODIFIERS}(?:{_NOUNS})\s+{_ID}")
-_ARROW = re.compile(rf"(?m)^\s*(?:export\s+)?const\s+{_ID}\s*=\s*" + r"(?:async\s*)?\(")
-_ROUTE = re.compile(r"\w+\.(" + "|".join(["get", "post", "put", "delete", "patch", "websocket"]) + r")\(\s*" + r"['\"]([^'\"]+)")
-_QUOTED = r"['\"]([^'\"]+)"
+_ARROW = re.compile(r"(?m)^\s*(?:" + r"export\s+)?const\s+" + _ID + r"\s*=\s*" + r"(?:async\s*)?\(")
+_ROUTE = re.compile(r"\w+\.(" + "|".join(["get", "post", "put", "delete", "patch", "websocket"]) + r")\(\s*" + "['\"]" + "([^'\"]+)")
+_QUOTED = "['\"]" + "([^'\"]+)"
 _IMPORT = re.compile(r"(?m)^\s*(?:" + "|".join([r"import\s+.*?from\s+" + _QUOTED, r"import\s+" + _QUOTED, r"require\(\s*" + _QUOTED, r"use\s+([\w:]+)"]) + ")")
 SHAPE = "struct<imports:array<string>,symbols:array<struct<name:string,type:string,line:long,snippet:string,route:string>>>"
 
@@ -42,11 +42,12 @@ def _python(source: str) -> dict:
         return {"imports": [], "symbols": []}
     lines = source.split("\n")
     found: set[str] = set()
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            found |= {a.name for a in node.names}
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            found.add(node.module)
+    for part in ast.walk(tree):
+        match part:
+            case ast.Import(names=names):
+                found |= {a.name for a in names}
+            case ast.ImportFrom(module=str(module)):
+                found.add(module)
     functions = ast.FunctionDef | ast.AsyncFunctionDef
 
     def symbol(node: ast.AST, name: str, kind: str) -> dict:

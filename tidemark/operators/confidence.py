@@ -43,8 +43,10 @@ def signals(queries: DataFrame, evidence: DataFrame, now: str = config.NOW, poli
     all_ = queries.select("query_id").distinct().join(got, "query_id", "left").join(clash, "query_id", "left")
     bad = F.col("subjects").isNotNull()
     p = policy
-    raw = p.w_similarity * F.least(F.lit(1.0), F.col("top")) + p.w_sources * F.col("sources") + p.w_agreement * F.col("agree") + p.w_recency * F.col("recent") + p.w_authority * F.col("auth")
-    score = F.coalesce(F.round((raw + p.w_no_conflict * F.when(bad, 0.0).otherwise(1.0)) * F.least(F.lit(1.0), F.col("top") / p.strong), 4), F.lit(0.0))
+    *five, peace = p.weights
+    parts = [F.least(F.lit(1.0), F.col("top")), *map(F.col, ("sources", "agree", "recent", "auth"))]
+    raw = sum((w * c for w, c in zip(five[1:], parts[1:], strict=True)), five[0] * parts[0])
+    score = F.coalesce(F.round((raw + peace * F.when(bad, 0.0).otherwise(1.0)) * F.least(F.lit(1.0), F.col("top") / p.strong), 4), F.lit(0.0))
     out = all_.withColumn("conflict", bad).withColumn("score", score)
     for name, c in (("top_similarity", "top"), ("mean_similarity", "mean"), ("source_count", "sources"), ("agreement", "agree"), ("recency", "recent"), ("authority", "auth")):
         out = out.withColumn(name, F.coalesce(F.round(c, 4), F.lit(0.0)))

@@ -22,6 +22,7 @@ from . import common
 
 QUERY_BLOCK = 2048
 DIM = 256
+Vectors = list[list[float]]
 
 
 def normalized(v: Column) -> Column:
@@ -136,11 +137,11 @@ class Embedder:
 
     name, model = "blake", "hash-256"
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        return [blake_embedding(t) for t in texts]
+    def embed(self, some: list[str]) -> Vectors:
+        return [blake_embedding(t) for t in some]
 
-    def embed_query(self, texts: list[str]) -> list[list[float]]:
-        return self.embed(texts)
+    def embed_query(self, some: list[str]) -> Vectors:
+        return self.embed(some)
 
     def column(self, c: Column, query: bool = False, batch: int = 128) -> Column:
         fn: Callable = self.embed_query if query else self.embed

@@ -44,7 +44,8 @@ def forget(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("record_id"), "record_id", "left_anti")
 
 
-def listed(records: DataFrame, kind: str | None = None, status: str | None = "active") -> DataFrame:
+def listed(records: DataFrame, kind: str | None = None, *, status: str | None = "active") -> DataFrame:
+    """Records of a kind and a status; None takes all."""
     want = {k: v for k, v in (("kind", kind), ("status", status)) if v is not None}
     return records.where(common.matches(want))
 

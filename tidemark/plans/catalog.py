@@ -81,7 +81,7 @@ class Tables:
         return self.spark.createDataFrame(list(samples.FILES), "file string, text string")
 
 
-# --- text functions -------------------------------------------------------------------------
+# Text functions
 
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({S.tok('text')}) AS token FROM documents) GROUP BY token")
@@ -129,7 +129,7 @@ def jaccard_pairs(t: Tables) -> DataFrame:
     return a.join(b, "doc_id").select("doc_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-# --- lexical and dense search ------------------------------------------------------------------
+# Lexical and dense search
 
 
 @query(f"WITH t AS (SELECT doc_id, {S.tok('text')} AS t FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM t) SELECT token, df, round(ln(1.0::DOUBLE + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM t) GROUP BY token), n")
@@ -209,7 +209,7 @@ def vector_memory_recall(t: Tables) -> DataFrame:
     return fusion.vector_memory(t.hashed(), t.lexical())
 
 
-# --- memory -------------------------------------------------------------------------------------
+# Memory
 
 
 @query(f"WITH {S.MEM} SELECT record_id, kind, subject, source, authority, status, age FROM mem")
@@ -279,7 +279,7 @@ def recent_decisions(t: Tables) -> DataFrame:
     return memory.recent_decisions(t.memory()).select("record_id", "subject", "text")
 
 
-# --- store and caches -------------------------------------------------------------------------------
+# Store and caches
 
 
 @query("SELECT doc_id AS chunk_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN lang = 'en' THEN upper(source) ELSE source END AS source, doc_id AS seq FROM documents")
@@ -327,7 +327,7 @@ def cache_writes(t: Tables) -> DataFrame:
     return cache.writable(t.signals()).select("query_id", "mode")
 
 
-# --- chunking, sources, answers ------------------------------------------------------------------------
+# Chunking, sources, answers
 
 
 @query()
@@ -380,7 +380,7 @@ def parse_citations(t: Tables) -> DataFrame:
     return answer.citations(said, _ranked_text(t))
 
 
-# --- code -------------------------------------------------------------------------------------------------
+# Code
 
 
 def _rows(rows: list[tuple]) -> str:
@@ -413,7 +413,7 @@ def code_records(t: Tables) -> DataFrame:
     return code_index.records(code_index.files(t.code()))
 
 
-# --- evaluation ---------------------------------------------------------------------------------------------
+# Evaluation
 
 _CASES = f"""WITH {S.bm25('documents', 'doc_id', 'text', k=10)}, rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id), h AS (SELECT lex.query_id, min(rank) AS first, sum(1 / log2(rank + 1.0::DOUBLE)) AS dcg FROM lex JOIN rel ON rel.query_id = lex.query_id AND rel.doc_id = lex.chunk_id GROUP BY lex.query_id),
@@ -444,7 +444,7 @@ def eval_report(t: Tables) -> DataFrame:
     return evaluation.report(t.asked(), t.lexical(10), t.relevant(), 10)
 
 
-# --- events ---------------------------------------------------------------------------------------------------
+# Events
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")

@@ -24,21 +24,22 @@ class IngestionError(Exception):
 
 
 class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.depth, self.parts = 0, []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.depth += tag in ("script", "style", "noscript", "head")
+    hidden = frozenset("script style noscript head".split())
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "noscript", "head") and self.depth:
-            self.depth -= 1
+    def reset(self):
+        super().reset()
+        self.depth, self.parts = 0, []
 
-    def handle_data(self, data: str) -> None:
+    def handle_data(self, data):
         if not self.depth and (x := data.strip()):
             self.parts.append(x)
 
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.hidden
+
+    def handle_endtag(self, tag):
+        self.depth = max(0, self.depth - (tag in self.hidden))
+
 
 def html_to_text(html: str | None) -> str:
     p = _Text()
