@@ -17,7 +17,6 @@ too; each row gets its own bitmap by the hash of its text. An empty table gives
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -211,7 +210,3 @@ def apply(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: st
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, policy: str = "all", extra: tuple[str, ...] = ()) -> DataFrame:
     maps, _ = shared.written(bitmaps(drops(docs, id_col, text_col, min_docs, min_chars, policy)), "bitmaps")
     return apply(docs, maps, id_col, text_col, extra)
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
