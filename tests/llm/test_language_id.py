@@ -66,6 +66,15 @@ def test_held_out_accuracy_and_fold(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in test) >= 0.98 * len(test)
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(EN), "en") for i in range(500)] + [(1000 + i, " ".join(rng.choice(w, 25)), k) for i in range(30) for w, k in ((EN, "en"), (ES, "es"))]
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), per_lang=20)
+    assert len(set(zip(seen["texts"], seen["langs"]))) == len(seen["texts"]) == 40
+
+
 @pytest.mark.parametrize("size", [1, 7, 192])
 def test_chains_cover_all_words_once(size):
     doc = np.array([0] * 500 + [2] * 3 + [3])

@@ -9,7 +9,7 @@ and that mean is its score.
 
 A chain has ``CHAIN`` words at most: a longer text is several chains, all of which count.
 The fit takes a bounded sample of labelled chains (``per_lang`` for each language, those with
-the lowest hash); prediction reads the text alone. Null text, or text without a letter: ``und``,
+the lowest hash; copies of a text count once); prediction reads the text alone. Null text, or text without a letter: ``und``,
 score 0. No labelled text at all: every row is ``und``. Repeated ids are judged row by row.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 BITS = 17
+#: Features of a slice take some 100 bytes for each byte of its distinct words.
+SLICE_BYTES = 1 << 20
 CHAIN = 192
 PER_LANG = 240
 KINDS = {"lexicon": 0x51ED270B7A14AD3F, "prefix": 0x2545F4914F6CDD1D, "suffix": 0x9FB21C651E98DF25, "gram": 0xD1342543DE82EF95}
@@ -170,19 +172,30 @@ def train(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.
 def _sampler(per_lang: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, list] = {}
+        known: dict[str, set] = {}
         for b in batches:
-            for lo, hi, buf, offs in tk.slices(b.column(1)):
+            for lo, hi, buf, offs in tk.slices(b.column(1), SLICE_BYTES):
                 langs = b.column(2)[lo:hi].to_pylist()
+                lo_langs = set(langs)
                 h0 = tk.mix(np.array(b.column(0)[lo:hi].to_pylist(), np.int64).view(np.uint64))
                 s, e, d = tk.spans(buf, offs, tk.LETTER)
                 first, size, text = chains(d, hi - lo)
                 key = tk.mix(h0[text] + tk.U64(977) * np.arange(len(text), dtype=np.uint64))
-                for i in np.argsort(key)[: 64 * per_lang]:
-                    mine = best.setdefault(langs[text[i]], [])
-                    v = -int(key[i] >> tk.U64(1))
-                    if len(mine) < per_lang or v > mine[0][0]:
-                        item = (v, bytes(buf[s[first[i]] : e[first[i] + size[i] - 1]]).decode(errors="replace"))
-                        (heapq.heappush if len(mine) < per_lang else heapq.heapreplace)(mine, item)
+                for i in np.argsort(key, kind="stable"):
+                    k, v = langs[text[i]], -int(key[i] >> tk.U64(1))
+                    mine, here = best.setdefault(k, []), known.setdefault(k, set())
+                    if len(mine) == per_lang and v <= mine[0][0]:
+                        if all(len(m) == per_lang and v <= m[0][0] for m in best.values()) and lo_langs <= best.keys():
+                            break
+                        continue
+                    if v in here:  # a copy: the same chain of the same text
+                        continue
+                    here.add(v)
+                    item = (v, bytes(buf[s[first[i]] : e[first[i] + size[i] - 1]]).decode(errors="replace"))
+                    if len(mine) < per_lang:
+                        heapq.heappush(mine, item)
+                    else:
+                        here.discard(heapq.heapreplace(mine, item)[0])
         rows = [(-v, k, t) for k, mine in best.items() for v, t in mine]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["key", "lang", "text"])
@@ -194,7 +207,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
     """A model from the ``per_lang`` chains of each language with the lowest hashes, among all rows that ``where`` keeps."""
     use = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if where is None else where))
     some = use.select(F.xxhash64(text_col).alias("h"), text_col, lang_col).mapInArrow(_sampler(per_lang), "key long, lang string, text string")
-    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("n") <= per_lang)
+    some = some.dropDuplicates(["lang", "key"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("n") <= per_lang)
     rows = some.select("key", "lang", "text").orderBy("key", "lang", "text").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -204,7 +217,7 @@ def predictor(model: Model, names_out: list[str]):
         names = np.array([*model.langs, "und"], object)
         k = len(model.langs)
         for b in batches:
-            for lo, hi, buf, offs in tk.slices(b.column(1)):
+            for lo, hi, buf, offs in tk.slices(b.column(1), SLICE_BYTES):
                 n = hi - lo
                 s, e, d = tk.spans(buf, offs, tk.LETTER)
                 mean = np.zeros((n, k))
