@@ -180,7 +180,8 @@ def _sampler(per_lang: int):
                 h0 = tk.mix(np.array(b.column(0)[lo:hi].to_pylist(), np.int64).view(np.uint64))
                 s, e, d = tk.spans(buf, offs, tk.LETTER)
                 first, size, text = chains(d, hi - lo)
-                key = tk.mix(h0[text] + tk.U64(977) * np.arange(len(text), dtype=np.uint64))
+                nth = np.arange(len(text)) - np.searchsorted(text, text)  # of its text
+                key = tk.mix(h0[text] + tk.U64(977) * nth.astype(np.uint64))
                 for i in np.argsort(key, kind="stable"):
                     k, v = langs[text[i]], -int(key[i] >> tk.U64(1))
                     mine, here = best.setdefault(k, []), known.setdefault(k, set())
