@@ -68,3 +68,42 @@ def test_scores_are_probabilities():
             p = np.where(seen > 0, (t[x * 256 + buf] + kinds[x] * p) / np.maximum(seen, 1), p)
         total += p[0]
     assert abs(total - 1) < 1e-6
+
+
+def test_contexts_are_exact_and_both_ways_agree(spark):
+    import random
+    from collections import Counter, defaultdict
+    from math import log
+
+    r = random.Random(3)
+    urls = [f"http://{''.join(r.choices('abcdefghijklmnopqrstuvwxyz', k=9))}.{t}/{r.randrange(10**6):x}é" for t in ("org", "biz", "net") for _ in range(700)] + [URLS[12], "", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rules = [("allow", "org", "/"), ("block", "biz", "/")]
+    judged = U.parsed(df, "url", rules)
+    counts = [[defaultdict(Counter) for _ in range(U.ORDER + 1)] for _ in (0, 1)]
+    known = judged.where("__hit is not null and crc32(cast(url as binary)) % 5 != 0").select("__seen", "__hit.verdict").collect()
+    for seen, verdict in known:
+        b = [0] * U.ORDER + [x + 1 for x in seen.encode()]
+        for i in range(U.ORDER, len(b)):
+            for k in range(U.ORDER + 1):
+                counts[verdict == "block"][k][tuple(b[i - k : i])][b[i]] += 1
+    cells = {(k, c) for side in counts for k in range(U.ORDER + 1) for c in side[k]}
+    assert len({c for k, c in cells if k == U.ORDER}) > 4096
+
+    def brute_score(text):
+        b, total = [0] * U.ORDER + [x + 1 for x in text.encode()], 0.0
+        for i in range(U.ORDER, len(b)):
+            for side, sign in zip(counts, (1, -1)):
+                p = 1 / 256
+                for k in range(U.ORDER + 1):
+                    c = side[k].get(tuple(b[i - k : i]))
+                    p = (c[b[i]] + len(c) * p) / (c.total() + len(c)) if c else p
+                total += sign * log(p)
+        return total / max(len(b) - U.ORDER, 1)
+
+    sent, joined = U.fit(judged), U.fit(judged, max_cells=100)
+    assert sent.table is None and joined.table is not None and sent.threshold == joined.threshold
+    for model in (sent, joined):
+        got = U.judge(df, rules=rules, model=model).collect()
+        assert len(got) == len(urls)
+        assert all(abs(x["score"] - brute_score(x["host"] + x["path"])) < 1e-9 for x in got)
