@@ -48,3 +48,11 @@ def test_canonical_words():
     c, h, typed, d = D.canonical(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     names = {D.NUM: "NUM", D.UNIT: "UNIT", D.NAME: "NAME"}
     assert [names.get(int(x), "-") for x in c] == ["-", "NAME", "NUM", "UNIT", "-", "NAME", "-", "NUM", "UNIT", "-", "-", "-", "-", "-"]
+
+
+def test_copies_of_any_case_length_and_share_of_typed_words(spark):
+    items = [(1, ITEM, 0), (2, "Who wrote Émile?", 0), (3, "Name 3 Red Fish From Lake Como In 1990 And 1991", 0), (4, "Sodium", 0), (5, "?!", 0), (6, "Die Straße nach Österreich führt Über Köln und Bonn dann Weiter", 0)]
+    docs = [(1, ITEM.upper()), (2, ITEM.title()), (3, ITEM.lower()), (4, f"{FILL} “who wrote ÉMILE”, {FILL}"), (5, f"{FILL}: {items[2][1]}. {FILL}"), (6, "it is SODIUM. Sodium"), (7, items[5][1].upper()), (8, "who wrote it and who read Émile ?!"), (9, FILL)]
+    got = run(spark, [(*x, "i", 0) for x in docs], items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4), (7, 6)}
+    assert all(r["coverage"] == 1 and r["verbatim"] for r in got.values())

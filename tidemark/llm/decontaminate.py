@@ -8,14 +8,19 @@ the slots consistently: one benchmark value stands for one value in the text thr
 contaminated by an item when consistent windows cover ``MIN_RUN`` of its words on one diagonal,
 or ``MIN_COVER`` of all its words.
 
+Beside the templates goes an exact path: windows of ``WINDOW`` case-folded words as they stand, or
+the whole item where it has fewer, under the same two bounds. It finds any copy of an item, whatever
+its case, length or share of typed words. An item of one word matches each text that has the word.
+
 Before the join, a text's windows pass a bit table of the benchmark's hashes, which has a fixed
-size however large the benchmark is; false passes don't survive the join. Null or empty texts
-and items match nothing, and so do items with fewer words than a window. Repeated items all
-report; repeated rows of the table too. Columns besides id and text aren't read.
+size however large the benchmark is; false passes don't survive the join. Null, empty or wordless
+texts and items match nothing. Repeated items all report; repeated rows of the table too. Columns
+besides id and text aren't read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,7 @@ NUM, UNIT, NAME = (tk.mix_int(x) for x in (11, 12, 13))
 _UNITS = np.sort(np.array([int(tk.word_hashes(u, tk.LETTER_DIGIT)[0]) for u in UNITS], np.uint64))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_BETWEEN = re.compile(r"[^\w\x00-\x7F]+")
 _END = np.zeros(256, bool)
 _END[list(b".!?:;\n\r\"'(")] = True
 
@@ -76,46 +82,89 @@ def windows(buf: np.ndarray, offs: np.ndarray, size: int = WINDOW, min_literal:
     return g, np.flatnonzero(one), h, typed, d
 
 
-def _emit(id_name: str, bits: np.ndarray | None, size: int, min_literal: int):
+def folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts case-folded, other than ASCII punctuation as spaces; ASCII texts stay, as the word hashes fold them."""
+    if not len(buf) or buf.max() < 128:
+        return buf, offs
+    texts = [bytes(buf[lo:hi]) for lo, hi in zip(offs[:-1], offs[1:], strict=True)]
+    texts = [t if t.isascii() else _BETWEEN.sub(" ", t.decode("utf-8", "replace").casefold()).encode() for t in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def literal(buf: np.ndarray, offs: np.ndarray, size: int = WINDOW, widths: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """(hashes, place in the text, width, text, words of each text) of literal windows of ``widths``; None: as items have them, of ``size`` or whole."""
+    buf, offs = folded(buf, offs)
+    s, e, d = tk.spans(buf, offs, tk.LETTER_DIGIT)
+    h = tk.span_hash(tk.prefix(buf, tk.CODE_LOWER), s, e)
+    zero = tk.first_of(d, len(offs) - 1)
+    words = np.diff(zero)
+    out = []
+    for w in range(1, size + 1) if widths is None else widths:
+        g, one = tk.grams(h, d, w)
+        at = np.flatnonzero(one)
+        if widths is None and w < size:
+            at = at[words[d[at]] == w]
+        out.append((g[at] ^ tk.U64(tk.mix_int(100 + w)), at - zero[d[at]], np.full(len(at), w), d[at]))
+    g, pos, width, doc = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+    return g, pos, width, doc, words
+
+
+def _emit(id_name: str, bits: np.ndarray | None, size: int, min_literal: int, widths: list[int] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = None if bits is None else np.unpackbits(bits).astype(bool)
+        names = [id_name, "pos", "size", "gram", "width", "slots"]
         for b in batches:
             for lo, hi, buf, offs in tk.slices(b.column(1)):
                 g, at, h, typed, d = windows(buf, offs, size, min_literal)
                 if flags is not None and len(at):
                     at = at[tk.in_bloom(flags, g[at])]
-                if not len(at):
-                    continue
-                zero = tk.first_of(d, hi - lo)
-                doc = d[at]
-                cells = at[:, None] + np.arange(size)
-                slots = np.where(typed[cells], h[cells], tk.U64(0)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(doc + lo)), pa.array((at - zero[doc]).astype(np.int64)), pa.array((zero[doc + 1] - zero[doc]).astype(np.int64)), pa.array(g[at].view(np.int64)), tk.list_array(pa.array(slots.ravel()), np.full(len(at), size))],
-                    [id_name, "pos", "size", "gram", "slots"],
-                )
+                if len(at):
+                    zero = tk.first_of(d, hi - lo)
+                    doc = d[at]
+                    cells = at[:, None] + np.arange(size)
+                    slots = np.where(typed[cells], h[cells], tk.U64(0)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(doc + lo)), pa.array((at - zero[doc]).astype(np.int64)), pa.array((zero[doc + 1] - zero[doc]).astype(np.int64)), pa.array(g[at].view(np.int64)), pa.array(np.zeros(len(at), np.int64)), tk.list_array(pa.array(slots.ravel()), np.full(len(at), size))],
+                        names,
+                    )
+                g, pos, width, doc, words = literal(buf, offs, size, widths)
+                if flags is not None and len(g):
+                    at = np.flatnonzero(tk.in_bloom(flags, g))
+                    # where a whole short item stands in a text makes no difference: once is enough
+                    short = at[width[at] < size]
+                    short = short[np.unique(np.stack([doc[short], g[short].view(np.int64)]), axis=1, return_index=True)[1]] if len(short) else short
+                    at = np.concatenate([at[width[at] == size], short])
+                    g, pos, width, doc = g[at], pos[at], width[at], doc[at]
+                if len(g):
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(doc + lo)), pa.array(pos.astype(np.int64)), pa.array(words[doc].astype(np.int64)), pa.array(g.view(np.int64)), pa.array(width.astype(np.int64)), tk.list_array(pa.array([], pa.int64()), np.zeros(len(g), np.int64))],
+                        names,
+                    )
 
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, min_literal: int = MIN_LITERAL, min_run: int = MIN_RUN, min_cover: float = MIN_COVER) -> DataFrame:
-    """A row for each contaminated (text, item): ids, n_matched (item words covered), coverage, verbatim, contaminated (true)."""
+    """A row for each contaminated (text, item): ids, n_matched (item words covered), coverage, verbatim, contaminated (true), by the path that covers more."""
     ik, dk = benchmark.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item"), item_text).where(F.col(item_text).isNotNull())
-    shape = "pos long, size long, gram long, slots array<long>"
-    bench = items.mapInArrow(_emit("item", None, size, min_literal), f"item {ik}, {shape}").select("item", F.col("pos").alias("ipos"), F.col("size").alias("isize"), "gram", F.col("slots").alias("islots"))
+    shape = "pos long, size long, gram long, width long, slots array<long>"
+    bench = items.mapInArrow(_emit("item", None, size, min_literal), f"item {ik}, {shape}").select("item", F.col("pos").alias("ipos"), F.col("size").alias("isize"), "gram", "width", F.col("slots").alias("islots"))
     cells = [r[0] for r in bench.select(F.shiftrightunsigned("gram", 64 - BLOOM_BITS)).distinct().collect()]  # 2**BLOOM_BITS at most
     flags = np.zeros(1 << BLOOM_BITS, bool)
     flags[cells] = True
-    found = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_emit("id", np.packbits(flags), size, min_literal), f"id {dk}, {shape}").select("id", "pos", "gram", "slots")
+    widths = sorted(r[0] for r in bench.select("width").where("width > 0").distinct().collect())
+    found = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_emit("id", np.packbits(flags), size, min_literal, widths), f"id {dk}, {shape}").select("id", "pos", "gram", "width", "slots")
     # one item's window may stand at many places of the benchmark; equal windows of equal slots join once for each item
-    hit = found.join(bench, "gram").withColumn("diagonal", F.col("pos") - F.col("ipos"))
+    hit = found.join(bench, ["gram", "width"]).withColumn("diagonal", F.col("pos") - F.col("ipos"))
     filled = F.filter(F.arrays_zip("islots", "slots"), lambda x: x["islots"] != 0)
     same = F.transform(filled, lambda x: F.struct(x["islots"].alias("was"), x["slots"].alias("now")))
-    by = hit.groupBy("id", "item", "diagonal", "isize").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(same))).alias("slots"))
+    by = hit.groupBy("id", "item", "width", "diagonal", "isize").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(same))).alias("slots"))
+    wide = F.when(F.col("width") > 0, F.col("width")).otherwise(F.lit(size))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["was"])))
-    by = by.where(consistent).withColumn("covered", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (size - 1))))))
+    by = by.where(consistent).withColumn("covered", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (wide - 1))))))
     verbatim = F.forall("slots", lambda x: x["was"] == x["now"])
-    pair = by.groupBy("id", "item", "isize").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_matched"), F.max(F.size("covered")).alias("run"), F.min(verbatim).alias("verbatim"))
+    pair = by.groupBy("id", "item", "width", "isize").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_matched"), F.max(F.size("covered")).alias("run"), F.min(verbatim).alias("verbatim"))
     pair = pair.withColumn("coverage", F.round(F.col("n_matched") / F.col("isize"), 6)).where((F.col("run") >= min_run) | (F.col("coverage") >= min_cover))
-    return pair.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "coverage", "verbatim", F.lit(True).alias("contaminated"))
+    pair = pair.groupBy("id", "item").agg(F.max(F.struct("coverage", "n_matched", "verbatim")).alias("best"))
+    return pair.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_matched", "best.coverage", "best.verbatim", F.lit(True).alias("contaminated"))
