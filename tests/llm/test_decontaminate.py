@@ -56,3 +56,11 @@ def test_copies_of_any_case_length_and_share_of_typed_words(spark):
     got = run(spark, [(*x, "i", 0) for x in docs], items)
     assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4), (7, 6)}
     assert all(r["coverage"] == 1 and r["verbatim"] for r in got.values())
+
+
+def test_a_conflict_costs_its_windows_only(spark):
+    item = "we bought 5 apples at the old market and then the driver took us over 20 hills and along 30 rivers until all of us were very tired so that in the end we gave 5 coins to him"
+    two = item.replace("bought 5", "bought 8").replace("20", "21").replace("30", "31").replace("gave 5", "gave 9")
+    one = item.replace("gave 5", "gave 9").replace("20", "21").replace("30", "31")
+    got = run(spark, [(1, two, "", 0), (2, one, "", 0)], [(5, item, 0)])
+    assert {k[0] for k in got} == {1, 2} and not any(r["verbatim"] for r in got.values())

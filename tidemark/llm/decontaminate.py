@@ -4,9 +4,10 @@ Numbers, units after a number, and names (capitalised words inside a sentence) b
 placeholders, so a re-parameterised question has the same template as the original. Windows of
 ``WINDOW`` canonical words with enough literal ones are hashed, and the texts' windows are
 hash-joined to the benchmark's. The matches of a text and an item on one diagonal must fill
-the slots consistently: one benchmark value stands for one value in the text throughout. A text is
-contaminated by an item when consistent windows cover ``MIN_RUN`` of its words on one diagonal,
-or ``MIN_COVER`` of all its words.
+the slots consistently: one benchmark value stands for one value in the text. Windows that hold a
+value that stands for several are dropped, unless all their slots are as in the item; the others
+count. A text is contaminated by an item when such windows cover ``MIN_RUN`` of its words on one
+diagonal, or ``MIN_COVER`` of all its words.
 
 Beside the templates goes an exact path: windows of ``WINDOW`` case-folded words as they stand, or
 the whole item where it has fewer, under the same two bounds. It finds any copy of an item, whatever
@@ -159,11 +160,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     hit = found.join(bench, ["gram", "width"]).withColumn("diagonal", F.col("pos") - F.col("ipos"))
     filled = F.filter(F.arrays_zip("islots", "slots"), lambda x: x["islots"] != 0)
     same = F.transform(filled, lambda x: F.struct(x["islots"].alias("was"), x["slots"].alias("now")))
-    by = hit.groupBy("id", "item", "width", "diagonal", "isize").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(same))).alias("slots"))
+    by = hit.groupBy("id", "item", "width", "diagonal", "isize").agg(F.collect_set(F.struct(F.col("ipos").alias("at"), same.alias("slots"))).alias("windows"))
+    by = by.withColumn("slots", F.array_distinct(F.flatten("windows.slots"))).withColumn("was", F.array_sort("slots.was"))
+    # a value of the item that stands for several values in the text
+    torn = F.array_distinct(F.filter("was", lambda x, i: (i > 0) & (F.get("was", i - 1) == x)))
+    by = by.withColumn("torn", torn)
+    good = F.filter("windows", lambda w: F.forall(w["slots"], lambda x: x["was"] == x["now"]) | ~F.exists(w["slots"], lambda x: F.array_contains("torn", x["was"])))
     wide = F.when(F.col("width") > 0, F.col("width")).otherwise(F.lit(size))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["was"])))
-    by = by.where(consistent).withColumn("covered", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (wide - 1))))))
-    verbatim = F.forall("slots", lambda x: x["was"] == x["now"])
+    by = by.withColumn("windows", good).where(F.size("windows") > 0)
+    by = by.withColumn("covered", F.array_distinct(F.flatten(F.transform("windows.at", lambda p: F.sequence(p, p + (wide - 1))))))
+    verbatim = F.forall(F.flatten("windows.slots"), lambda x: x["was"] == x["now"])
     pair = by.groupBy("id", "item", "width", "isize").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_matched"), F.max(F.size("covered")).alias("run"), F.min(verbatim).alias("verbatim"))
     pair = pair.withColumn("coverage", F.round(F.col("n_matched") / F.col("isize"), 6)).where((F.col("run") >= min_run) | (F.col("coverage") >= min_cover))
     pair = pair.groupBy("id", "item").agg(F.max(F.struct("coverage", "n_matched", "verbatim")).alias("best"))
