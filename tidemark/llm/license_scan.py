@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .license_texts import BODIES
 
 K = 3
 MAX_GRAMS = 20_000
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Short grants and notices as authors write them, by label.
+#: By label: short grants and notices as authors write them, then the standard bodies and file headers.
 TEMPLATES = (
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
@@ -45,6 +46,7 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    *BODIES,
 )
 
 
@@ -130,8 +132,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     good = (F.col("cover") >= min_cover) & (F.col("last") - F.col("first") + k <= 2 * F.col("size"))
     band = band.withColumn("span", F.when(good, F.struct("label", "first", (F.col("last") + (k - 1)).alias("last"), "cover", "votes")))
     voted = band.groupBy("row", *head).agg(F.array_sort(F.collect_list("span")).alias("spans")).drop("row")
-    # words that two templates claim go to the one with more votes
-    less = lambda s, o: (o["votes"] > s["votes"]) & (o["first"] <= s["last"]) & (s["first"] <= o["last"])
+    # words that two templates claim go to the one with more votes, or at as many to the one that they cover more of
+    less = lambda s, o: ((o["votes"] > s["votes"]) | ((o["votes"] == s["votes"]) & (o["cover"] > s["cover"]))) & (o["first"] <= s["last"]) & (s["first"] <= o["last"])
     voted = voted.withColumn("spans", F.filter("spans", lambda s: ~F.exists("spans", lambda o: less(s, o))))
     names = F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(label)) for i, (_, label) in enumerate(phrases)))
     own = F.array_sort(F.array_distinct(F.array_compact(names)))
