@@ -44,8 +44,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, in its words or re-parameterised."""
-    leaks = decontaminate.matches(docs, registry.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    known = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    leaks = decontaminate.matches(known, registry.table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct()
+    return known.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,11 @@ def test_run_and_entry(spark, folder):
     names = E.queries()
     assert {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")} and "pipeline" in names
     assert "pipeline" not in E.oracle_sql() and set(E.oracle_sql()) <= set(names)
+
+
+def test_leaks_go_by_row(spark, folder):
+    bench = registry.table(spark, folder, "benchmark").first()["text"]
+    rows = [(None, bench, "en", "s", 0), (None, "a clean text with no id", "en", "s", 0), (7, bench, "en", "s", 0), (7, "a clean text with the id of a leak", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, registry.table(spark, folder, "documents").schema)
+    got = P.decontaminate_benchmark(spark, docs, folder).collect()
+    assert sorted((r["text"] for r in got)) == ["a clean text with no id", "a clean text with the id of a leak"]
