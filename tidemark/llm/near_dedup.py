@@ -3,7 +3,8 @@
 A document's set holds its distinct ``SHINGLE``-word shingles. Its signature has ``K``
 coordinates, each the shingle that comes first in one random order. Documents are posted under
 (coordinate, value) pairs; two documents whose sets overlap by ``THRESHOLD`` agree in
-``AGREE`` of the K coordinates (short of that with a probability near 1e-10). So each posts only the
+``AGREE`` of the K coordinates (short of that with a probability of 9.2e-10 at ``THRESHOLD``; short of
+``SKETCH_AGREE`` two-bit sketches with 1.5e-7; binomial, 64 trials at 0.8 and 0.85). So each posts only the
 K - AGREE + 1 pairs that are rarest corpus-wide (prefix), which leaves the long lists out, and
 what the other coordinates would count is not merged from lists but counted on the two
 signatures themselves, of which two bits for each coordinate travel with a posting (skip). Pairs
