@@ -5,6 +5,12 @@ import pytest
 WORDS = "the of and to in is was for on with as by at an be this that from are it alpha beta gamma delta".split()
 
 
+def thue_morse(n: int = 1024) -> tuple[str, str]:
+    """A word of a and b and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 def sentence(r: random.Random, n: int) -> str:
     return " ".join(r.choice(WORDS) + str(r.randrange(40)) * (r.random() < 0.6) for _ in range(n))
 
@@ -31,6 +37,8 @@ def rows() -> list[tuple]:
         out.append((i, " ".join(w)))
     out += [(i, big) for i in range(80, 86)]
     out += [(90, None), (91, ""), (92, " \n\t\n "), (93, "one"), (94, "ONE"), (95, "x" * 5000), (96, "ab " * 3000), (97, "é" * 300 + "\n漢字 ▁ 🙂\x00 <|x|>"), (98, sentence(r, 9000)), (None, "null id " + passage), (99, "twice told\n" + passage), (99, "twice told\n" + passage), (None, None)]
+    same, other = thue_morse()
+    out += [(100 + i, same) for i in range(9)] + [(110, other), (111, f"{same} {other}\n{same}\n{other}")]
     return out
 
 

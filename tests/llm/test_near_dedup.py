@@ -68,6 +68,6 @@ def test_signature_keys_agree_as_sets_do(n):
 
     x = np.sort(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
     counts = np.ones(1 << 8, np.int64)
-    k1, s1 = N.signatures(np.concatenate([x, x]), np.array([n, n]), counts, N.K)
+    k1, s1 = N.signatures(np.concatenate([x, x]), np.array([n, n]), counts, N.POSTED)
     assert (k1[0] == k1[1]).all() and (s1[0] == s1[1]).all()
-    assert N.agreements(s1[:1], s1[1, 0], s1[1, 1])[0] == N.K
+    assert N.agreements(s1[:1], s1[1:])[0] == N.K

@@ -2,24 +2,33 @@
 
 A document's set holds its distinct ``SHINGLE``-word shingles. Its signature has ``K``
 coordinates, each the shingle that comes first in one random order. Documents are posted under
-(coordinate, value) pairs; two documents whose sets overlap by ``THRESHOLD`` agree in
-``AGREE`` of the K coordinates (short of that with a probability of 9.2e-10 at ``THRESHOLD``; short of
-``SKETCH_AGREE`` two-bit sketches with 1.5e-7; binomial, 64 trials at 0.8 and 0.85). So each posts only the
-K - AGREE + 1 pairs that are rarest corpus-wide (prefix), which leaves the long lists out, and
-what the other coordinates would count is not merged from lists but counted on the two
-signatures themselves, of which two bits for each coordinate travel with a posting (skip). Pairs
-with enough collisions are confirmed on the full sets, exactly.
+(coordinate, value) pairs of the first ``POSTED`` coordinates; two documents whose sets overlap by
+``THRESHOLD`` agree in ``AGREE`` of them (short of that with a probability of 7.9e-10 at
+``THRESHOLD``; binomial, 40 trials at 0.8). So each posts only the POSTED - AGREE + 1 pairs that are
+rarest corpus-wide (prefix), which leaves the long lists out. What the other coordinates would
+count is not merged from lists (skip): for a pair that a list gives, all K coordinates are probed on
+the two signatures, of which two bits for each coordinate travel with a posting, and
+``SKETCH_AGREE`` must agree (short of that with 5.2e-11; 64 trials at 0.85). Pairs with enough
+collisions are confirmed on the full sets, exactly.
 
 Rarity comes from shingle counts over all documents in a table of fixed size; an inexact count
-changes the order, not the result. Documents with equal sets are one class before posting. A
-list of more than ``BLOCK`` classes is cut into blocks that meet pair by pair in different
-tasks. In a list, classes first pair up with leaders only; after these pairs are confirmed and
-joined to components, a second round tests the pairs of different components, so a big group
-of copies gives about one pair for each copy, and yet no two components that a link joins stay
-apart.
+changes the order, not the result. Documents with equal sets are one class before posting.
+
+Postings are range-partitioned by list and class, so a long list is spread over partitions, and
+streamed. The classes of a list pair up with leaders: the first class takes all that agree with it,
+the first of those left takes its own, and so on, in blocks of ``BLOCK`` that share the list's
+first class. Once these pairs are confirmed and joined to components, the lists in which a pair
+went untested (some class was taken by a leader) and that still hold several components are gone through
+again for pairs of different components: a big group of copies gives about one pair
+for each copy, and yet no two components that a link joins stay apart. A list of more than
+``BLOCK`` classes is first split by a second and a third shared coordinate: documents that
+agree in AGREE share two of their POSTED - AGREE + 2 rarest pairs, three of the next prefix, and so on. Only lists of
+classes that share three of their rarest pairs and are still too long meet block by block.
 
 Null or wordless text: the set is empty and links with nothing. Rows of one id are judged by
-their texts; ``component_id`` is the least id reachable. Ties need no order: results don't depend on it.
+their texts; ``component_id`` is the least id reachable (null only where all ids are). Ties need no order:
+results don't depend on it. An empty table gives no rows. Other columns aren't read, so their names may be any.
+A text is held whole in one task, at some 40 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -36,8 +45,9 @@ from . import shared
 from . import textkit as tk
 from .components import components
 
-K, AGREE, SHINGLE, THRESHOLD, BLOCK, COUNT_BITS, SEEN_BITS = 64, 30, 2, 80, 2048, 18, 22
-SKETCH_AGREE = 38
+K, POSTED, AGREE, SHINGLE, THRESHOLD, BLOCK, COUNT_BITS, SEEN_BITS = 64, 40, 15, 2, 80, 2048, 18, 22
+SKETCH_AGREE, DEPTH = 33, 2
+PREFIX = POSTED - AGREE + 1
 _rng = np.random.Generator(np.random.PCG64(104729))
 A = _rng.integers(0, 2**63, K, dtype=np.int64).astype(np.uint64) * tk.U64(2) + tk.U64(1)
 A_INVERSE = np.array([pow(int(a), -1, 1 << 64) for a in A], np.uint64)
@@ -48,7 +58,7 @@ def sets(buf: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.
     """(sorted distinct shingles of each text end to end, their number, words of each text)."""
     n = len(offs) - 1
     s, e, d = tk.spans(buf, offs, tk.NOT_SPACE)
-    h = tk.span_hash(tk.prefix(buf, tk.CODE_LOWER), s, e)
+    h = tk.span_hash(tk.eights(buf, tk.LOWER), s, e)
     g, one = tk.grams(h, d, shingle)
     at = tk.first_of(d, n)
     words = np.diff(at)
@@ -61,46 +71,32 @@ def sets(buf: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), size, words
 
 
-def _counter(bits: int, pieces: int = 16):
+def shingle_counts(docs: DataFrame, text_col: str, bits: int = COUNT_BITS) -> np.ndarray:
+    """Documents of each bucket of shingles, over all documents; 2**bits numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for b in batches:
             for _, _, buf, offs in tk.slices(b.column(0)):
                 x, _, _ = sets(buf, offs)
                 total += np.bincount((x >> tk.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([t.tobytes() for t in np.split(total, pieces)], pa.binary())], ["piece", "counts"])
-
-    return run
-
+        yield pa.RecordBatch.from_arrays([pa.array(range(shared.PIECES), pa.int32()), pa.array([t.tobytes() for t in np.split(total, shared.PIECES)], pa.binary())], ["piece", "cells"])
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(c, np.int64)
-            got[i] = got[i] + v if i in got else v
-    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([v.tobytes() for v in got.values()], pa.binary())], ["piece", "counts"])
-
-
-def shingle_counts(docs: DataFrame, text_col: str, bits: int = COUNT_BITS) -> np.ndarray:
-    """Documents of each bucket of shingles, over all documents; 2**bits numbers."""
-    rows = docs.select(text_col).mapInArrow(_counter(bits), "piece int, counts binary").repartition("piece").mapInArrow(_add, "piece int, counts binary").collect()
-    out = np.zeros((16, (1 << bits) // 16), np.int64)
-    for r in rows:
-        out[r["piece"]] += np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+    got = shared.summed(docs.select(text_col).mapInArrow(run, "piece int, cells binary"), np.add, "i8")
+    return got if len(got) else np.zeros(1 << bits, np.int64)
 
 
 def signatures(x: np.ndarray, size: np.ndarray, counts: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """(posting keys, two-longs sketch) of the non-empty sets: keys of the ``keep`` rarest coordinates."""
+    """(posting keys, two-longs sketch) of the non-empty sets: keys of the ``keep`` rarest posted coordinates, rarest first."""
     first = np.cumsum(size) - size
     v = np.empty((len(size), K), np.uint64)
     for k in range(K):
         v[:, k] = np.minimum.reduceat(x * A[k] + B[k], first)
     was = (v - B) * A_INVERSE
-    rarity = counts[(was >> tk.U64(65 - int(len(counts)).bit_length())).astype(np.int64)]
     key = tk.mix(was + (np.arange(K, dtype=np.uint64) + tk.U64(1)) * tk.U64(0xC2B2AE3D27D4EB4F))
-    by = np.lexsort((key, rarity), axis=1)[:, :keep]
+    posted = was[:, :POSTED]
+    rarity = counts[(posted >> tk.U64(65 - int(len(counts)).bit_length())).astype(np.int64)]
+    by = np.lexsort((key[:, :POSTED], rarity), axis=1)[:, :keep]
     two = key >> tk.U64(62)
     sketch = np.zeros((len(size), 2), np.uint64)
     for k in range(K):
@@ -111,7 +107,7 @@ def signatures(x: np.ndarray, size: np.ndarray, counts: np.ndarray, keep: int) -
 def _sign(counts: np.ndarray, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tk.slices(b.column(2)):
+            for lo, hi, buf, offs in tk.slices(b.column(3)):
                 x, size, words = sets(buf, offs)
                 n = hi - lo
                 h1, h2, keys, sk = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, keep), np.uint64), np.zeros((n, 2), np.uint64)
@@ -121,90 +117,160 @@ def _sign(counts: np.ndarray, keep: int):
                     h1[some], h2[some] = np.add.reduceat(tk.mix(x), first), np.add.reduceat(tk.mix(x ^ tk.U64(0x5DEECE66D)), first)
                     keys[some], sk[some] = signatures(x, size[some], counts, keep)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sk[:, 0].copy().view(np.int64)), pa.array(sk[:, 1].copy().view(np.int64)), tk.list_array(pa.array(keys.view(np.int64).ravel()), np.full(n, keep))],
-                    ["id", "row", "n", "h1", "h2", "s1", "s2", "keys"],
+                    [*(c[lo:hi] for c in b.columns[:3]), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sk[:, 0].copy().view(np.int64)), pa.array(sk[:, 1].copy().view(np.int64)), tk.list_array(pa.array(keys.view(np.int64).ravel()), np.full(n, keep))],
+                    ["id", "row", "row2", "n", "h1", "h2", "s1", "s2", "keys"],
                 )
 
     return run
 
 
-def agreements(s: np.ndarray, t1: np.uint64, t2: np.uint64) -> np.ndarray:
-    """In how many coordinates sketches agree."""
-    out = np.full(len(s), K, np.int64)
-    for j, t in ((0, t1), (1, t2)):
-        x = s[:, j] ^ t
-        out -= np.bitwise_count((x | (x >> tk.U64(1))) & tk.U64(0x5555555555555555)).astype(np.int64)
-    return out
+def agreements(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """In how many coordinates the sketches of two arrays agree, row by row."""
+    x = s ^ t
+    x = (x | (x >> tk.U64(1))) & tk.U64(0x5555555555555555)
+    return K - np.bitwise_count(x).sum(1).astype(np.int64)
+
+
+class Rows:
+    """Classes of lists, list by list: class number, set size, sketch and, in the second round, component."""
+
+    def __init__(self, row: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: int) -> None:
+        self.row, self.n, self.sketch, self.threshold = row, n, sketch, threshold
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = self.n[a], self.n[b]
+        ok = 100 * np.minimum(n, m) >= self.threshold * np.maximum(n, m)
+        at = np.flatnonzero(ok)
+        ok[at] = agreements(self.sketch[a[at]], self.sketch[b[at]]) >= SKETCH_AGREE
+        return ok
+
+    def led(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leader, taken) places; ``group`` numbers the lists, ascending. All lists go through a round together: their first class takes what agrees with it."""
+        left = np.arange(len(group))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(left):
+            g = group[left]
+            new = np.ones(len(g), bool)
+            new[1:] = g[1:] != g[:-1]
+            first = np.flatnonzero(new)
+            lead = np.repeat(left[first], np.diff(np.append(first, len(g))))[~new]
+            left = left[~new]
+            hit = self.agree(lead, left)
+            out.append((lead[hit], left[hit]))
+            left = left[~hit]
+        return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (np.zeros(0, np.int64),) * 2
+
+    def across(self, group: np.ndarray, label: np.ndarray, own: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of places in one list that differ in component, and in block where the list isn't ``within`` one, and agree."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        at = np.arange(len(group))
+        for step in range(1, len(group)):
+            at = at[: np.searchsorted(at, len(group) - step)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            two = at[(label[at] != label[at + step]) & (within[at] | (own[at] != own[at + step]))]
+            hit = two[self.agree(two, two + step)]
+            out.append((hit, hit + step))
+        return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (np.zeros(0, np.int64),) * 2
 
 
-def _pairs(row: np.ndarray, n: np.ndarray, s: np.ndarray, block: np.ndarray | None, label: np.ndarray | None, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one list (or of two blocks of one): with leaders only, or (given labels) of different components."""
-    out = []
-    order = np.argsort(row, kind="stable")
-    row, n, s = row[order], n[order], s[order]
-    if label is not None:
-        label = label[order]
-        if (label == label[0]).all():
-            return out
-    left = np.arange(len(row))
-    for i in range(len(row)):
-        if label is None:
-            if not len(left):
-                break
-            i, left = left[0], left[1:]
-            rest = left
-        else:
-            rest = np.arange(i + 1, len(row))
-            rest = rest[label[rest] != label[i]]
-        if not len(rest):
-            continue
-        lo, hi = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-        hit = (100 * lo >= threshold * hi) & (agreements(s[rest], s[i, 0], s[i, 1]) >= SKETCH_AGREE)
-        if hit.any():
-            out.append((np.full(int(hit.sum()), row[i]), row[rest[hit]]))
-            if label is None:
-                left = left[~hit]
-    return out
+PAIR, LATER, EDGE = 0, 1, 2
+
 
+def _stream(threshold: int, block: int):
+    """Sorted postings (key, row, n, s1, s2) to (kind, key, a, b): pairs to confirm; classes of lists that the second round goes through; the first class of a list at a partition's edge."""
 
-def _lists(labelled: bool, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def groups() -> Iterator[np.ndarray]:
-            """The columns of each list; a list has 2 * BLOCK rows at most."""
-            rest = None
-            for b in batches:
-                cols = np.stack([np.asarray(c).astype(np.int64) for c in b.columns], 1)
-                if rest is not None:
-                    cols = np.concatenate([rest, cols])
-                if not len(cols):
-                    continue
-                cut = np.flatnonzero((cols[1:, :3] != cols[:-1, :3]).any(1)) + 1
-                edges = [0, *cut.tolist()]
-                size = np.diff([*edges, len(cols)])
-                for k in np.flatnonzero(size[:-1] > 1):
-                    yield cols[edges[k] : edges[k + 1]]
-                rest = cols[edges[-1] :]
-            if rest is not None and len(rest) > 1:
-                yield rest
-
-        def batch() -> pa.RecordBatch:
-            both = np.concatenate(held, 1)
-            both = np.unique(both, axis=1)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
-
-        waiting = 0
-        for g in groups():
-            for a, c in _pairs(g[:, 3], g[:, 4], np.ascontiguousarray(g[:, 5:7]).view(np.uint64), None, g[:, 7] if labelled else None, threshold):
-                held.append(np.stack([np.minimum(a, c), np.maximum(a, c)]))
-                waiting += len(a)
-            if waiting > 100_000:
-                yield batch()
-                waiting = 0
-        if held:
-            yield batch()
+        held = np.zeros((0, 5), np.int64)
+        lead = None  # the first row of the list that ``held`` goes on with, where a part of it is done
+        opening, first_key = True, None
+
+        def put(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), *(pa.array(x, pa.int64()) for x in (key, a, b))], ["kind", "key", "a", "b"])
+
+        def work(c: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Lists at ``c``; ``whole`` tells of each row whether all of its list is there."""
+            if not len(c):
+                return
+            new = np.ones(len(c), bool)
+            new[1:] = c[1:, 0] != c[:-1, 0]
+            group = np.cumsum(new) - 1
+            many = np.bincount(group)
+            rows = Rows(c[:, 1], c[:, 2], np.ascontiguousarray(c[:, 3:5]).view(np.uint64), threshold)
+            use = np.flatnonzero(many[group] > 1)
+            a, b = Rows(rows.row[use], rows.n[use], rows.sketch[use], threshold).led(group[use])
+            a, b = use[a], use[b]
+            if len(a):
+                pair = np.unique(np.sort(np.stack([rows.row[a], rows.row[b]]), axis=0), axis=1)
+                pair = pair[:, pair[0] != pair[1]]
+                yield put(PAIR, np.zeros(pair.shape[1], np.int64), pair[0], pair[1])
+            # two classes in a list, or classes that no leader took, have all been compared
+            met = np.zeros(len(many), bool)
+            met[group[b]] = True
+            later = np.flatnonzero((met[group] & (many[group] > 2)) | ~whole)
+            if len(later):
+                yield put(LATER, c[later, 0], c[later, 1], np.zeros(len(later), np.int64))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.concatenate([held, np.stack([np.asarray(x).astype(np.int64) for x in batch.columns], 1)])
+            if first_key is None:
+                first_key = c[0, 0]
+                yield put(EDGE, c[:1, 0], c[:1, 1], np.zeros(1, np.int64))
+            cut = len(c) - int((c[:, 0] == c[-1, 0]).sum())
+            done, held = c[:cut], c[cut:]
+            if len(done):
+                whole = np.ones(len(done), bool)
+                if opening:
+                    whole[done[:, 0] == first_key] = False
+                    opening = False
+                if lead is not None:
+                    same = done[:, 0] == lead[0]
+                    whole[same] = False
+                    done, whole = np.concatenate([lead[None], done]), np.append(False, whole)
+                    lead = None
+                yield from work(done, whole)
+            while len(held) > block:
+                part, held = held[:block], held[block:]
+                lead = part[0] if lead is None else lead
+                c = np.concatenate([lead[None], part])
+                yield from work(c, np.zeros(len(c), bool))
+        if len(held):
+            if first_key != held[0, 0]:
+                yield put(EDGE, held[:1, 0], (held[:1, 1] if lead is None else lead[1:2]), np.zeros(1, np.int64))
+            if lead is not None:
+                held = np.concatenate([lead[None], held])
+            yield from work(held, np.zeros(len(held), bool))
+
+    return run
+
+
+def _again(threshold: int):
+    """Pairs of different components in sorted lists (key, i, j, row, label, n, s1, s2, own) of 2 * BLOCK classes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 9), np.int64)
+
+        def work(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(c):
+                return
+            new = np.ones(len(c), bool)
+            new[1:] = (c[1:, :3] != c[:-1, :3]).any(1)
+            a, b = Rows(c[:, 3], c[:, 5], np.ascontiguousarray(c[:, 6:8]).view(np.uint64), threshold).across(np.cumsum(new), c[:, 4], c[:, 8], c[:, 1] == c[:, 2])
+            if len(a):
+                pair = np.unique(np.sort(np.stack([c[a, 3], c[b, 3]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.concatenate([held, np.stack([np.asarray(x).astype(np.int64) for x in batch.columns], 1)])
+            cut = len(c) - int((c[:, :3] == c[-1, :3]).all(1).sum())
+            held = c[cut:]
+            yield from work(c[:cut])
+        yield from work(held)
 
     return run
 
@@ -213,11 +279,10 @@ def _texts(cells: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, z = np.unpackbits(cells).astype(bool), zstandard.ZstdCompressor(level=3)
         for b in batches:
-            row = np.asarray(b.column(0))
-            at = np.flatnonzero(tk.in_bloom(flags, row.view(np.uint64)))
+            at = pa.array(np.flatnonzero(tk.in_bloom(flags, np.asarray(b.column(0)).view(np.uint64))))
             if len(at):
-                t = b.column(1).take(pa.array(at)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array([z.compress((x or "").encode()) for x in t], pa.binary())], ["row", "packed"])
+                c = b.take(at)
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([z.compress((x or "").encode()) for x in c.column(2).to_pylist()], pa.binary())], ["row", "row2", "packed"])
 
     return run
 
@@ -253,54 +318,90 @@ def _confirm(threshold: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets overlap enough; ``docs`` has row and text."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, str]:
+    """The (a, b) of ``pairs`` of classes whose full sets overlap enough, and where they are; ``docs`` has row, row2 and text."""
     spark = pairs.sparkSession
-    cell = F.shiftrightunsigned("row", 64 - SEEN_BITS)
-    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).select(cell.alias("c")).distinct().collect()  # 2**SEEN_BITS at most
-    flags = np.zeros(1 << SEEN_BITS, bool)
-    flags[[r["c"] for r in rows]] = True
-    texts = docs.select("row", "text").mapInArrow(_texts(np.packbits(flags), SEEN_BITS), "row long, packed binary")
-    texts, at = shared.written(texts, "texts")
-    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("row").alias("b"), F.col("packed").alias("pb")), "b")
-    out, _ = shared.written(both.select("a", "b", "pa", "pb").mapInArrow(_confirm(threshold), "a long, b long").distinct(), "links")
-    shared.remove(spark, at)
+    need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    need, there = shared.written(classes.select("cid", "row", "row2").join(need.hint("shuffle_hash"), "cid", "left_semi"), "needed")
+    flags = shared.bit_table(need, F.col("row"), SEEN_BITS)
+    # a repeated row gives its text once
+    texts = docs.select("row", "row2", "text").mapInArrow(_texts(flags, SEEN_BITS), "row long, row2 int, packed binary").groupBy("row", "row2").agg(F.first("packed").alias("packed"))
+    texts, at = shared.written(texts.join(need, ["row", "row2"]).select("cid", "packed"), "texts")
+    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("cid").alias("b"), F.col("packed").alias("pb")), "b")
+    out = shared.written(both.select("a", "b", "pa", "pb").mapInArrow(_confirm(threshold), "a long, b long"), "links")
+    shared.remove(spark, at, there)
     return out
 
 
+def _second_round(rows: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of different components in the lists of ``rows`` (key, cid, label), and the folders that they are read from."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("used", F.array("key"))
+    found, folders = None, []
+    for depth in range(DEPTH + 1):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "m")
+        mixed, at = shared.written(rows.join(sizes, "key"), "mixed")
+        many = mixed.where(F.col("m") > BLOCK)
+        last = depth == DEPTH or many.isEmpty()
+        lists = (mixed if last else mixed.where(F.col("m") <= BLOCK)).join(classes.select("cid", "n", "s1", "s2"), "cid")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        lists = lists.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        lists = lists.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("cid").alias("row"), "label", "n", "s1", "s2", "own")
+        lists = lists.repartition(shared.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
+        pairs, there = shared.written(lists.mapInArrow(_again(threshold), "a long, b long").distinct(), "pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        folders.append(there)
+        if last:
+            shared.remove(spark, at)
+            return found.distinct(), folders
+        # a class joins, in place of a list too long, the lists of that and one more of its rarest pairs
+        more = many.join(classes.select("cid", F.slice("keys", 1, PREFIX + 1 + depth).alias("keys")), "cid")
+        more = more.select("cid", "label", "used", F.explode(F.array_except("keys", "used")).alias("one")).withColumn("used", F.array_sort(F.concat("used", F.array("one"))))
+        rows, there = shared.written(more.select(F.xxhash64("used").alias("key"), "cid", "label", "used").distinct(), "refined")
+        folders.append(there)
+        shared.remove(spark, at)
+    raise AssertionError
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept (its id is its component's least), and row (hash of id and text)."""
+    """Per row: id, n_shingles, component_id, kept (its id is its component's least), and row, row2 (hashes of id and text)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    use = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    keep = K - AGREE + 1
+    both = (F.col(id_col), F.col(text_col))
+    use = docs.select(F.col(id_col).alias("id"), F.xxhash64(*both).alias("row"), F.hash(*both).alias("row2"), F.col(text_col).alias("text"))
     counts = shingle_counts(use, "text")
-    signed, _ = shared.written(use.mapInArrow(_sign(counts, keep), f"id {kind}, row long, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>"), "signed")
+    signed, _ = shared.written(use.mapInArrow(_sign(counts, PREFIX + DEPTH), f"id {kind}, row long, row2 int, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>"), "signed")
     by = ["h1", "h2", "n"]
-    first = F.struct("id", "row", "s1", "s2", "keys")
-    classes, _ = shared.written(signed.where("n > 0").groupBy(*by).agg(F.min(first).alias("x")).select(*by, "x.*"), "classes")
-    posted = classes.select(F.explode("keys").alias("key"), "row", F.col("n"), "s1", "s2")
-    many = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("row", F.lit(5)), blocks).cast("int")
-    met = posted.join(many, "key").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "n", "s1", "s2")
-    met, at = shared.written(met, "lists")
-
-    def candidates(rows: DataFrame, labelled: bool) -> DataFrame:
-        lists = rows.repartition(shared.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
-        return shared.written(lists.mapInArrow(_lists(labelled, threshold), "a long, b long").distinct(), "pairs")[0]
-
-    links = confirmed(candidates(met, False), use, threshold)
+    one = F.min(F.struct("row", "row2", "s1", "s2", "keys"))
+    made = signed.where("n > 0").groupBy(*by).agg(F.min("id").alias("id"), one.alias("x")).select(*by, "id", "x.*").withColumn("cid", F.monotonically_increasing_id())
+    classes, at_classes = shared.written(made, "classes")  # numbered as written
+    posted = classes.select(F.explode(F.slice("keys", 1, PREFIX)).alias("key"), F.col("cid").alias("row"), "n", "s1", "s2")
+    lists = posted.repartitionByRange(shared.parts(spark), "key", "row").sortWithinPartitions("key", "row")
+    found, at_found = shared.written(lists.mapInArrow(_stream(threshold, BLOCK), "kind int, key long, a long, b long"), "found")
+    edge = found.where(F.col("kind") == EDGE).select("key", "a")  # two for each partition at most
+    edges = edge.groupBy("key").agg(F.min("a").alias("least"), F.count("*").alias("m")).where("m > 1").join(edge, "key").where("least < a").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    pairs, at_pairs = shared.written(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(edges).distinct(), "pairs")
+    links, at_links = confirmed(pairs, classes, use, threshold)
     label = components(links)
-    shown = met.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    more = candidates(shown, True)
+    shared.remove(spark, at_pairs, at_links)
+    later = found.where(F.col("kind") == LATER).select("key", F.col("a").alias("cid")).distinct()
+    shown = later.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    more, folders = _second_round(shown, classes, threshold)
+    more, at_more = shared.written(more, "pairs")
+    shared.remove(spark, at_found, *folders)
+    named = classes.select(*by, "id", "cid").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, use, threshold))
-        label = components(links)
-    shared.remove(spark, at)
-    named = classes.select(*by, "id", "row").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        links, at_links = confirmed(more, classes, use, threshold)
+        # components of the first round's components
+        of = label.select("node", "label")
+        for end in ("a", "b"):
+            links = links.join(of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        wider = components(links.select("a", "b"))
+        shared.remove(spark, at_links)
+        named = named.join(wider.select(F.col("node").alias("label"), F.col("label").alias("wider")), "label", "left").withColumn("label", F.coalesce("wider", "label"))
+    shared.remove(spark, at_more)
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = named.join(least, "label").select(*by, "component_id")
-    out = signed.select("id", "row", *by).join(of, by, "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
+    of, _ = shared.written(named.join(least, "label").select(*by, "component_id"), "named")
+    shared.remove(spark, at_classes)
+    out = signed.select("id", "row", "row2", *by).join(of, by, "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "row2")

@@ -49,7 +49,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
+    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("row", "row2")
 
 
 OP3_SQL = """
@@ -104,7 +104,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), kept=False)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,15 +16,12 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 3 << 20
 
-_rng = np.random.Generator(np.random.PCG64(7919))
-#: A random 64-bit value for each byte, and the same with A-Z folded to a-z.
-CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-CODE_LOWER = CODE.copy()
-CODE_LOWER[65:91] = CODE[97:123]
+#: Foldings of bytes: none, and A-Z to a-z.
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = SAME.copy()
+LOWER[65:91] = SAME[97:123]
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,17 +32,6 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i below n at least."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 4096), base, U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit values."""
     h = h ^ (h >> U64(30))
@@ -87,17 +73,57 @@ def sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return c[offs[1:]] - c[offs[:-1]]
 
 
-def prefix(buf: np.ndarray, code: np.ndarray = CODE) -> np.ndarray:
-    p = np.zeros(len(buf) + 1, U64)
-    np.cumsum(code[buf] * powers(_BASE, len(buf) + 1)[: len(buf)], out=p[1:])
-    return p
-
-
-def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans, from ``prefix``; equal spans have equal hashes in any slice."""
-    h = p[end] - p[start]
-    h *= powers(_INVERSE, len(p))[start]
-    h += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
+def eights(buf: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    """The eight bytes from each place on (and from the end on) as a number, folded; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf if fold is SAME else fold[buf]
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(w: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of byte spans, from ``eights``; equal spans have equal hashes in any slice. Each block of eight bytes goes through a mix of its own, so no polynomial identity makes spans collide; different seeds give unrelated hashes."""
+    size = end - start
+    key = U64(mix_int(seed * 2 + 1))
+    h = mix((w[start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ key)
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        blocks = (size[more] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        which = np.repeat(more, blocks)
+        at = (np.arange(len(which)) - np.repeat(first, blocks) + 1) * 8
+        k = mix(at.astype(np.uint64) + key)
+        x = (w[start[which] + at] & _FIRST_BYTES[np.minimum(size[which] - at, 8)]) ^ k
+        h[more] += np.add.reduceat(mix(x) * (k | U64(1)), first)
+    return mix(h + size.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
+
+def same_bytes(w: np.ndarray, a: np.ndarray, v: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from ``a`` in ``w`` (of ``eights``) equal those from ``b`` in ``v``."""
+    ok = ((w[a] ^ v[b]) & _FIRST_BYTES[np.minimum(size, 8)]) == 0
+    more = np.flatnonzero(ok & (size > 8))
+    if len(more):
+        blocks = (size[more] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        which = np.repeat(more, blocks)
+        at = (np.arange(len(which)) - np.repeat(first, blocks) + 1) * 8
+        differ = ((w[a[which] + at] ^ v[b[which] + at]) & _FIRST_BYTES[np.minimum(size[which] - at, 8)]) != 0
+        ok[more] = ~np.logical_or.reduceat(differ, first)
+    return ok
+
+
+def rolling(buf: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` bytes (8 times a power of two) from each place on that has as many."""
+    h = np.array(eights(buf)[: max(0, len(buf) - 7)])
+    h *= U64(0x9E3779B97F4A7C15)
+    h ^= h >> U64(29)
+    step = 8
+    while step < size:
+        left, h = h[:-step], h[step:]
+        h = (left ^ U64(0xC2B2AE3D27D4EB4F)) * U64(0xA24BAED4963EE407) + h
+        h ^= h >> U64(32)
+        h *= U64(0xD1342543DE82EF95)
+        h ^= h >> U64(29)
+        step *= 2
     return mix(h)
 
 
@@ -153,10 +179,10 @@ def gram_of(hashes: list[int]) -> int:
     return mix_int(h)
 
 
-def word_hashes(text: str, inside: np.ndarray, code: np.ndarray = CODE_LOWER) -> np.ndarray:
+def word_hashes(text: str, inside: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     buf = np.frombuffer(text.encode(), np.uint8)
     s, e, _ = spans(buf, np.array([0, len(buf)]), inside)
-    return span_hash(prefix(buf, code), s, e)
+    return span_hash(eights(buf, fold), s, e)
 
 
 def first_of(docs: np.ndarray, n: int) -> np.ndarray:
