@@ -49,41 +49,17 @@ def test_repeated_rows_and_empty_table(spark, nothing):
     assert L.scan(nothing).collect() == []
 
 
-def test_template_table_is_bounded():
-    import pytest
-
-    assert len(L.template_grams()) < L.MAX_GRAMS
-    with pytest.raises(ValueError):
-        L.template_grams([("x", " ".join(map(str, range(L.MAX_GRAMS + 9))))])
-
-
-MIT = """Copyright (c) 2020 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
-without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
-and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright
-notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS
-PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
-MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
-LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
-IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-HEADER = """/* %s is free software: you can redistribute it and/or modify\n * it under the terms of the GNU %s License as published by
- * the Free Software Foundation, either version %s of the License, or\n * (at your option) any later version. */ int main;"""
-BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-conditions are met:\n * Redistributions of source code must retain the above copyright notice, this list of conditions and the following
-disclaimer.\n * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
-the documentation and/or other materials provided with the distribution.\n%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
-"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
-PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
-SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
-PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
-NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-THIRD = "Neither the name of %s nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
-ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + """
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
-WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
-OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-
+def test_many_phrases_and_joined_templates(spark, monkeypatch):
+    """Any number of phrases; template grams above the broadcast bound are joined, with the same results."""
+    phrases = [(f"phrase number {i} here", f"label{i:03d}") for i in range(100)]
+    rows = [(i, f"x phrase number {i} here and phrase number {(i * 7) % 100} here; released under the mit license") for i in range(100)]
+    df = spark.createDataFrame([(i, t, 5, "n") for i, t in rows], "row long, text string, hits int, tid string")
+    got = {r["row"]: r for r in L.scan(df, id_col="row", phrases=phrases).collect()}
+    assert all(got[i]["base_labels"] == ",".join(sorted({f"label{i:03d}", f"label{i * 7 % 100:03d}"})) and got[i]["n_base"] == 2 for i in got) and len(got) == 100
+    assert all("mit-release" in r["labels"] for r in got.values())
+    monkeypatch.setattr(L, "MAX_GRAMS", 3)
+    again = {r["row"]: r for r in L.scan(df, id_col="row", phrases=phrases).collect()}
+    assert again == got
 
 def test_standard_bodies_and_headers(spark):
     want = [

@@ -50,7 +50,8 @@ def test_index_finds_longest_matches():
     for trial in range(40):
         base = [bytes(r.choice(b"ab\x00") for _ in range(r.randint(3, 40))) for _ in range(3)]
         texts = [b"".join(r.choice(base) for _ in range(r.randint(1, 3))) for _ in range(r.choice([1, 2, 4]))]
-        index = S.RunLengthIndex(texts)
+        buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        index = S.RunLengthIndex(buf, offs)
         m = index.matches()
         spots = [(t, p) for t in range(len(texts)) for p in range(len(texts[t]))]
         for t, p in spots:
@@ -61,7 +62,18 @@ def test_index_finds_longest_matches():
                     n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
                     best = max(best, n)
             assert m[index.start[t] + p] == best
-    assert index.runs <= index.n
+        assert index.runs <= index.n == index.length.sum() and index.runs == len(index.first) == len(index.below)
+
+
+def test_a_hot_anchor_is_split(spark):
+    """One 64-byte string inside windows that differ left and right of it, more often than a block takes."""
+    r = random.Random(8)
+    core = bytes(r.choice(b"abcdefgh") for _ in range(64)).decode()
+    side = ["".join(r.choice("xyz") for _ in range(180)) for _ in range(8)]
+    rows = [(i, r.choice(side)[r.randrange(60) :] + core + r.choice(side)[: 180 - r.randrange(60)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[:5] for r in S.dedup(df, block=3).collect()), key=repr)
+    assert got == brute(rows, 200)
 
 
 def test_every_window_has_one_anchor():

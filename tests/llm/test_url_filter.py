@@ -107,3 +107,21 @@ def test_contexts_are_exact_and_both_ways_agree(spark):
         got = U.judge(df, rules=rules, model=model).collect()
         assert len(got) == len(urls)
         assert all(abs(x["score"] - brute_score(x["host"] + x["path"])) < 1e-9 for x in got)
+
+
+def test_thousands_of_rules_are_joined(spark, monkeypatch):
+    """Rules by join give what the expression gives, and what a loop over them gives."""
+    import random
+
+    r = random.Random(3)
+    hosts = ["org", "com", "example.org", "a.example.org", "net", "b.com", ""]
+    rules = [(r.choice(["allow", "block"]), r.choice(hosts), "/" + "/".join(r.choice("abcd") for _ in range(r.randrange(1, 4)))) for _ in range(40)]
+    urls = [f"http://{r.choice(hosts + ['x.org', 'q.a.example.org', 'other.de', 'com.'])}/{'/'.join(r.choice('abcd') for _ in range(r.randrange(5)))}?q" for _ in range(150)] + [None, "", "x", "http://ORG/a"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one = {x["page_id"]: (x["__hit"] and tuple(x["__hit"])) for x in U.parsed(df, "url", rules).select("page_id", "__hit").collect()}
+    monkeypatch.setattr(U, "INLINE_RULES", 3)
+    two = {x["page_id"]: (x["__hit"] and tuple(x["__hit"])) for x in U.parsed(df, "url", rules).select("page_id", "__hit").collect()}
+    assert one == two and sum(v is not None for v in one.values()) > 20
+    many = [("allow", f"h{i}.org", "/") for i in range(5000)] + [("block", "org", "/")]
+    got = {x["page_id"]: tuple(x["__hit"]) for x in U.parsed(spark.createDataFrame([(1, "http://www.h77.org/x"), (2, "http://z.org/")], "page_id long, url string"), "url", many).select("page_id", "__hit").collect()}
+    assert got == {1: ("h77.org/", "allow"), 2: ("org/", "block")}

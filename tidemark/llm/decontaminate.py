@@ -13,10 +13,12 @@ Beside the templates goes an exact path: windows of ``WINDOW`` case-folded words
 the whole item where it has fewer, under the same two bounds. It finds any copy of an item, whatever
 its case, length or share of typed words. An item of one word matches each text that has the word.
 
-Before the join, a text's windows pass a bit table of the benchmark's hashes, which has a fixed
-size however large the benchmark is; false passes don't survive the join. Null, empty or wordless
-texts and items match nothing. Repeated items all report; repeated rows of the table too. Columns
-besides id and text aren't read.
+Before the join, a text's windows pass a bit table of the benchmark's hashes, of 16 MB
+at most however large the benchmark is; false passes don't survive the join. Null, empty or wordless
+texts and items match nothing. Each row's text is judged by itself (rows are told apart by 96 bits of hashes of id and text);
+rows of one id that match one item give one result, the one that covers more. Repeated items all report. Columns
+besides id and text aren't read, so their names may be any. Empty tables give no rows. A text is held whole in one
+task, at some 60 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import textkit as tk
 
-WINDOW, MIN_LITERAL, MIN_RUN, MIN_COVER, BLOOM_BITS = 8, 5, 13, 0.6, 22
+WINDOW, MIN_LITERAL, MIN_RUN, MIN_COVER = 8, 5, 13, 0.6
+#: Least and most bits of the bit table's size; in between, eight times the benchmark's windows.
+BLOOM_BITS = 20, 27
 UNITS = "km m cm mm mi mile miles kg g mg lb lbs pound pounds oz l ml liter liters litre litres hour hours h min minute minutes s sec second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degrees celsius kmh mph kb mb gb tb".split()
 NUM, UNIT, NAME = (tk.mix_int(x) for x in (11, 12, 13))
 _UNITS = np.sort(np.array([int(tk.word_hashes(u, tk.LETTER_DIGIT)[0]) for u in UNITS], np.uint64))
@@ -47,7 +52,7 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     s, e, d = tk.spans(buf, offs, tk.LETTER_DIGIT)
     if not len(s):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), d
-    p = tk.prefix(buf, tk.CODE_LOWER)
+    p = tk.eights(buf, tk.LOWER)
     num = _DIGIT[buf[s]] & _DIGIT[buf[e - 1]]
     join = np.zeros(len(s), bool)
     join[1:] = num[1:] & num[:-1] & (d[1:] == d[:-1]) & (s[1:] == e[:-1] + 1)
@@ -96,7 +101,7 @@ def literal(buf: np.ndarray, offs: np.ndarray, size: int = WINDOW, widths: list[
     """(hashes, place in the text, width, text, words of each text) of literal windows of ``widths``; None: as items have them, of ``size`` or whole."""
     buf, offs = folded(buf, offs)
     s, e, d = tk.spans(buf, offs, tk.LETTER_DIGIT)
-    h = tk.span_hash(tk.prefix(buf, tk.CODE_LOWER), s, e)
+    h = tk.span_hash(tk.eights(buf, tk.LOWER), s, e)
     zero = tk.first_of(d, len(offs) - 1)
     words = np.diff(zero)
     out = []
@@ -110,9 +115,9 @@ def literal(buf: np.ndarray, offs: np.ndarray, size: int = WINDOW, widths: list[
     return g, pos, width, doc, words
 
 
-def _emit(id_name: str, bits: np.ndarray | None, size: int, min_literal: int, widths: list[int] | None = None):
+def _emit(id_name: str, held, size: int, min_literal: int, widths: list[int] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = None if bits is None else np.unpackbits(bits).astype(bool)
+        flags = None if held is None else np.unpackbits(held.value).astype(bool)
         names = [id_name, "pos", "size", "gram", "width", "slots"]
         for b in batches:
             for lo, hi, buf, offs in tk.slices(b.column(1)):
@@ -150,12 +155,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     ik, dk = benchmark.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item"), item_text).where(F.col(item_text).isNotNull())
     shape = "pos long, size long, gram long, width long, slots array<long>"
-    bench = items.mapInArrow(_emit("item", None, size, min_literal), f"item {ik}, {shape}").select("item", F.col("pos").alias("ipos"), F.col("size").alias("isize"), "gram", "width", F.col("slots").alias("islots"))
-    cells = [r[0] for r in bench.select(F.shiftrightunsigned("gram", 64 - BLOOM_BITS)).distinct().collect()]  # 2**BLOOM_BITS at most
-    flags = np.zeros(1 << BLOOM_BITS, bool)
-    flags[cells] = True
+    bench, _ = shared.written(items.mapInArrow(_emit("item", None, size, min_literal), f"item {ik}, {shape}").select("item", F.col("pos").alias("ipos"), F.col("size").alias("isize"), "gram", "width", F.col("slots").alias("islots")), "benchmark")
+    bits = int(np.clip((8 * bench.count()).bit_length(), *BLOOM_BITS))
+    flags = docs.sparkSession.sparkContext.broadcast(shared.bit_table(bench, F.col("gram"), bits))
     widths = sorted(r[0] for r in bench.select("width").where("width > 0").distinct().collect())
-    found = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_emit("id", np.packbits(flags), size, min_literal, widths), f"id {dk}, {shape}").select("id", "pos", "gram", "width", "slots")
+    text = F.struct(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.hash(id_col, text_col).alias("row2"))
+    found = docs.select(text.alias("id"), text_col).mapInArrow(_emit("id", flags, size, min_literal, widths), f"id struct<id:{dk},row:long,row2:int>, {shape}").select("id", "pos", "gram", "width", "slots")
     # one item's window may stand at many places of the benchmark; equal windows of equal slots join once for each item
     hit = found.join(bench, ["gram", "width"]).withColumn("diagonal", F.col("pos") - F.col("ipos"))
     filled = F.filter(F.arrays_zip("islots", "slots"), lambda x: x["islots"] != 0)
@@ -172,5 +177,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     verbatim = F.forall(F.flatten("windows.slots"), lambda x: x["was"] == x["now"])
     pair = by.groupBy("id", "item", "width", "isize").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_matched"), F.max(F.size("covered")).alias("run"), F.min(verbatim).alias("verbatim"))
     pair = pair.withColumn("coverage", F.round(F.col("n_matched") / F.col("isize"), 6)).where((F.col("run") >= min_run) | (F.col("coverage") >= min_cover))
-    pair = pair.groupBy("id", "item").agg(F.max(F.struct("coverage", "n_matched", "verbatim")).alias("best"))
+    pair = pair.groupBy(F.col("id.id").alias("id"), "item").agg(F.max(F.struct("coverage", "n_matched", "verbatim")).alias("best"))
     return pair.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_matched", "best.coverage", "best.verbatim", F.lit(True).alias("contaminated"))

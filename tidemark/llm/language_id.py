@@ -46,7 +46,7 @@ def _bucket(h: np.ndarray, kind: str) -> np.ndarray:
 
 
 def features(buf: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of all features of the words at [s, e); ``p`` is the lower-cased prefix hash."""
+    """(word number, bucket) of all features of the words at [s, e); ``p`` has their lower-cased bytes by ``eights``."""
     who, what = [np.arange(len(s))], [_bucket(tk.span_hash(p, s, e), "lexicon")]
     size = e - s
     for k in (1, 2, 3, 4):
@@ -64,7 +64,7 @@ def features(buf: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray) -> tu
 
 def emissions(buf: np.ndarray, s: np.ndarray, e: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A row of scores for each word; each distinct word is scored once."""
-    p = tk.prefix(buf, tk.CODE_LOWER)
+    p = tk.eights(buf, tk.LOWER)
     _, one, back = np.unique(tk.span_hash(p, s, e), return_index=True, return_inverse=True)
     who, what = features(buf, s[one], e[one], p)
     out = np.stack([np.bincount(who, weights[what, j], minlength=len(one)) for j in range(weights.shape[1])], 1)
@@ -127,7 +127,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.
     if not len(s):
         return Model([], np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
     zero = tk.first_of(d, len(texts))
-    p = tk.prefix(buf, tk.CODE_LOWER)
+    p = tk.eights(buf, tk.LOWER)
     _, one, back = np.unique(tk.span_hash(p, s, e), return_index=True, return_inverse=True)
     who, what = features(buf, s[one], e[one], p)
     buckets, col = np.unique(what, return_inverse=True)
@@ -213,8 +213,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def predictor(model: Model, names_out: list[str]):
+def predictor(held, names_out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         names = np.array([*model.langs, "und"], object)
         k = len(model.langs)
         for b in batches:
@@ -243,7 +244,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra))]
     names = ["id", "lang_pred", "score", *(f"x{i}" for i in range(len(extra)))]
     kinds = [docs.schema[id_col].dataType.simpleString(), "string", "double", *(docs.schema[c].dataType.simpleString() for c in extra)]
-    got = docs.select(*cols).mapInArrow(predictor(model, names), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    got = docs.select(*cols).mapInArrow(predictor(docs.sparkSession.sparkContext.broadcast(model), names), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     return got.select(F.col("id").alias(id_col), "lang_pred", "score", *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)))
 
 

@@ -6,10 +6,13 @@ counted by diagonal, diagonals within ``slack`` of each other are merged (words
 out move the diagonal), and a merged span is verified by the share of the template's words
 that its hits cover and by its length. Phrases with fixed labels are found beside that.
 
-The templates are a fixed list whose k-grams are at most ``MAX_GRAMS``, so they are broadcast;
-a text sends only the grams that pass a bit table of those hashes. One row of the text table
-stays one row of the result: rows are told apart by a row number, so repeated ids don't mix.
-Null and empty texts: no words, no labels, score 0.
+Up to ``MAX_GRAMS`` template k-grams are broadcast, more are joined by a shuffle; a text sends only the
+grams that pass a bit table of those hashes. Any number of phrases and templates will do. One row of
+the text table stays one row of the result: rows are told apart by a row number, so repeated ids
+don't mix, and columns besides id and text aren't read, so names may be any.
+Null and empty texts: no words, no labels, score 0. An empty table gives no rows. Words that two
+templates claim go to the one with more votes, then to the one that they cover more of; on a tie both stay.
+A text is held whole in one task, at some 30 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from . import textkit as tk
 from .license_texts import BODIES
 
 K = 3
-MAX_GRAMS = 20_000
+#: Template grams that are broadcast at most (20 bytes each).
+MAX_GRAMS = 200_000
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: By label: short grants and notices as authors write them, then the standard bodies and file headers.
 TEMPLATES = (
@@ -57,12 +61,10 @@ def template_grams(templates: Sequence[tuple[str, str]] = TEMPLATES, k: int = K)
         h = tk.word_hashes(text, tk.LETTER_DIGIT)
         g, _ = tk.grams(h, np.zeros(len(h), np.int64), k)
         out += [(int(x), t, i) for i, x in enumerate(g.view(np.int64))]
-    if len(out) > MAX_GRAMS:
-        raise ValueError(f"{len(out)} template grams; {MAX_GRAMS} at most are broadcast")
     return out
 
 
-def _scanner(id_col: str, phrases: Sequence[tuple[str, str]], grams: list[tuple[int, int, int]], k: int):
+def _scanner(phrases: Sequence[tuple[str, str]], grams: list[tuple[int, int, int]], k: int):
     wanted: dict[int, list[tuple[int, int]]] = {}
     for i, (p, _) in enumerate(phrases):
         h = tk.word_hashes(p, tk.LETTER_DIGIT)
@@ -74,7 +76,7 @@ def _scanner(id_col: str, phrases: Sequence[tuple[str, str]], grams: list[tuple[
             for lo, hi, buf, offs in tk.slices(b.column(1)):
                 n = hi - lo
                 s, e, d = tk.spans(buf, offs, tk.LETTER_DIGIT)
-                h = tk.span_hash(tk.prefix(buf, tk.CODE_LOWER), s, e)
+                h = tk.span_hash(tk.eights(buf, tk.LOWER), s, e)
                 zero = tk.first_of(d, n)
                 at, which = [], []
                 for size, found in wanted.items():
@@ -90,8 +92,8 @@ def _scanner(id_col: str, phrases: Sequence[tuple[str, str]], grams: list[tuple[
                 np.minimum.at(first, da, rel)
                 np.maximum.at(last, da, rel)
                 base = np.bincount(da, minlength=n)
-                mask = np.zeros(n, np.int64)
-                np.bitwise_or.at(mask, da, 1 << which)
+                pair = np.unique(da * max(1, len(phrases)) + which)  # phrases by text
+                named = tk.list_array(pa.array((pair % max(1, len(phrases))).astype(np.int32)), np.bincount(pair // max(1, len(phrases)), minlength=n))
                 hits = np.zeros(0, np.int64)
                 if bits is not None:
                     g, one = tk.grams(h, d, k)
@@ -101,8 +103,8 @@ def _scanner(id_col: str, phrases: Sequence[tuple[str, str]], grams: list[tuple[
                 counts = np.bincount(dh, minlength=n)
                 value = pa.StructArray.from_arrays([pa.array(hits - zero[dh], pa.int64()), pa.array(g.view(np.int64) if len(hits) else np.zeros(0, np.int64), pa.int64())], ["pos", "gram"])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], pa.array(np.diff(zero), pa.int64()), pa.array(base, pa.int64()), pa.array(first, pa.int64(), mask=base == 0), pa.array(last, pa.int64(), mask=base == 0), pa.array(mask, pa.int64()), tk.list_array(value, counts)],
-                    [id_col, "n_words", "n_base", "first_word", "last_word", "mask", "hits"],
+                    [b.column(0)[lo:hi], pa.array(np.diff(zero), pa.int64()), pa.array(base, pa.int64()), pa.array(first, pa.int64(), mask=base == 0), pa.array(last, pa.int64(), mask=base == 0), named, tk.list_array(value, counts)],
+                    ["__id", "n_words", "n_base", "first_word", "last_word", "named", "hits"],
                 )
 
     return run
@@ -113,13 +115,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     grams = template_grams(templates, k)
-    rows = docs.select(id_col, text_col).mapInArrow(
-        _scanner(id_col, phrases, grams, k),
-        f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, mask long, hits array<struct<pos:long,gram:long>>",
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(
+        _scanner(phrases, grams, k),
+        f"__id {kind}, n_words long, n_base long, first_word long, last_word long, named array<int>, hits array<struct<pos:long,gram:long>>",
     )
-    head = [id_col, "n_words", "n_base", "first_word", "last_word", "mask"]
-    info = F.broadcast(spark.createDataFrame([(t, x[0], len(x[1].split())) for t, x in enumerate(templates)], "tid int, label string, size int"))
-    where = F.broadcast(spark.createDataFrame(grams, "gram long, tid int, tpos int"))
+    head = ["__id", "n_words", "n_base", "first_word", "last_word", "named"]
+    few = F.broadcast if len(grams) <= MAX_GRAMS else lambda df: df
+    info = few(spark.createDataFrame([(t, x[0], len(x[1].split())) for t, x in enumerate(templates)], "tid int, label string, size int"))
+    where = few(spark.createDataFrame(grams, "gram long, tid int, tpos int"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     votes = rows.select("row", *head, F.explode_outer("hits").alias("h")).select("row", *head, "h.pos", "h.gram").join(where, "gram", "left")
     votes = votes.select("row", *head, "tid", "tpos", "pos", (F.col("pos") - F.col("tpos")).alias("diagonal")).repartition("row")
@@ -135,10 +138,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     # words that two templates claim go to the one with more votes, or at as many to the one that they cover more of
     less = lambda s, o: ((o["votes"] > s["votes"]) | ((o["votes"] == s["votes"]) & (o["cover"] > s["cover"]))) & (o["first"] <= s["last"]) & (s["first"] <= o["last"])
     voted = voted.withColumn("spans", F.filter("spans", lambda s: ~F.exists("spans", lambda o: less(s, o))))
-    names = F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(label)) for i, (_, label) in enumerate(phrases)))
-    own = F.array_sort(F.array_distinct(F.array_compact(names)))
+    names = F.array(*(F.lit(label) for _, label in phrases)).cast("array<string>")
+    own = F.array_sort(F.array_distinct(F.transform("named", lambda i: F.get(names, i))))
     return voted.select(
-        id_col, "n_words", "n_base", "first_word", "last_word", F.array_join(own, ",").alias("base_labels"),
+        F.col("__id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(own, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.transform("spans", lambda s: s["label"])))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0))).alias("score"), "spans",
     )

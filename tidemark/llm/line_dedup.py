@@ -4,15 +4,18 @@ Each text is cut at \\n; a line's key is the line without the white space at its
 lower-cased, as a 128-bit hash. (hash, document, position) rows are range-partitioned by hash
 and document and sorted by hash, document, position, so a hot key is spread over as many
 partitions as it needs, and each partition streams its runs once, holding no run: only whether
-a run has reached ``min_docs`` documents, and the rows before that. A run that touches its
-partition's edge with fewer documents than that is decided afterwards from the run summaries
-(two for each partition at most). Text isn't shuffled with the lines: the result is a
+a run has reached ``min_docs`` documents, and up to ``HELD`` rows before that. A run that touches its
+partition's edge with fewer documents than that, or has more rows before that, is decided afterwards from
+the run summaries (two for each partition, and one for ``HELD`` rows). Text isn't shuffled with the lines: the result is a
 compressed keep bitmap for each touched document, which ``apply`` joins to the texts.
 
 ``policy`` "all": every line of a key found in ``min_docs`` documents goes. "after_first": its
 first line by (document, position) stays. Keys under ``min_chars`` code points never go.
 Null or empty text: one empty line. Rows of one id are one document; a null id counts as one,
-too; each row gets its own bitmap by the hash of its text. An empty table gives no rows.
+too; each row gets its own bitmap by the hash of its text. First lines are told by document, position
+and hash of the text; rows that repeat in all of these stay or go together. An empty table gives no rows. Columns
+besides id, text and ``extra`` aren't read; an ``extra`` column with the name of a result is left out.
+A text is held whole in one task, at some 20 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkit as tk
 
-CODE2 = tk.mix(tk.CODE_LOWER)
 DROP, PENDING, SUMMARY, FIRST = 0, 1, 2, 3
+HELD = 200_000
 
 
 def line_keys(buf: np.ndarray, offs: np.ndarray, min_chars: int = 1) -> tuple[np.ndarray, ...]:
@@ -45,7 +48,8 @@ def line_keys(buf: np.ndarray, offs: np.ndarray, min_chars: int = 1) -> tuple[np
     np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
     ok = chars[ke] - chars[ks] >= min_chars
     some, ks, ke = some[ok], ks[ok], ke[ok]
-    return ld[some], pos[some], tk.span_hash(tk.prefix(buf, tk.CODE_LOWER), ks, ke), tk.span_hash(tk.prefix(buf, CODE2), ks, ke)
+    w = tk.eights(buf, tk.LOWER)
+    return ld[some], pos[some], tk.span_hash(w, ks, ke), tk.span_hash(w, ks, ke, 1)
 
 
 def _explode(min_chars: int):
@@ -71,11 +75,12 @@ def _stream(min_docs: int, after_first: bool, kind: pa.DataType):
         key = None  # the run at hand
         docs, last, opens, first_kept = 0, None, True, False
         held: list[pa.RecordBatch] = []  # its rows while it has under min_docs documents
+        spilled = False  # whether some of them are out, pending
 
         def close(edge: bool) -> Iterator[pa.RecordBatch]:
             if key is None:
                 return
-            if edge or opens:
+            if edge or opens or spilled:
                 yield out(part, np.array([SUMMARY]), [key[0]], [key[1]], pa.array([None], kind), [0], [0], [docs])
                 if docs < min_docs:
                     for r in held:
@@ -109,7 +114,7 @@ def _stream(min_docs: int, after_first: bool, kind: pa.DataType):
                     opens = key is None
                     if len(starts) > 1 and i == len(starts) - 1:
                         opens = False
-                    key, docs, held, first_kept = k, 0, [], False
+                    key, docs, held, first_kept, spilled = k, 0, [], False, False
                     here = int(total[i])
                 else:
                     here = int(total[i]) - (mine == last)
@@ -122,6 +127,9 @@ def _stream(min_docs: int, after_first: bool, kind: pa.DataType):
                 rows = out(part, kinds, h1[at], h2[at], ids.take(pa.array(at)), row[at], pos[at], np.zeros(len(at)))
                 if docs < min_docs:
                     held.append(rows)
+                    if sum(r.num_rows for r in held) > HELD:
+                        yield from held
+                        held, spilled = [], True
                 else:
                     for r in [*held, rows]:
                         now = np.asarray(r.column(0))
@@ -137,8 +145,8 @@ def _stream(min_docs: int, after_first: bool, kind: pa.DataType):
     return run
 
 
-def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, policy: str = "all") -> DataFrame:
-    """(id, row: hash of the text, pos) of every line to drop."""
+def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, policy: str = "all", folders: list[str] | None = None) -> DataFrame:
+    """(id, row: hash of the text, pos) of every line to drop; reads the tables in ``folders``, if given one to fill."""
     if policy not in ("all", "after_first"):
         raise ValueError(f"unknown policy {policy}")
     spark = docs.sparkSession
@@ -147,9 +155,12 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     from pyspark.sql.pandas.types import to_arrow_type
 
     use = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    rows, _ = shared.written(use.mapInArrow(_explode(min_chars), f"id {sql}, row long, pos int, h1 long, h2 long"), "lines")
+    rows, lines = shared.written(use.mapInArrow(_explode(min_chars), f"id {sql}, row long, pos int, h1 long, h2 long"), "lines")
     by = rows.repartitionByRange(shared.parts(spark), "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos", "row")
-    found, _ = shared.written(by.mapInArrow(_stream(min_docs, policy == "after_first", to_arrow_type(field)), f"kind int, h1 long, h2 long, id {sql}, row long, pos int, n long, part int"), "runs")
+    found, runs_at = shared.written(by.mapInArrow(_stream(min_docs, policy == "after_first", to_arrow_type(field)), f"kind int, h1 long, h2 long, id {sql}, row long, pos int, n long, part int"), "runs")
+    shared.remove(spark, lines)
+    if folders is not None:
+        folders.append(runs_at)
     key = ["h1", "h2"]
     runs = found.where(F.col("kind") == SUMMARY).groupBy(*key).agg(F.sum("n").alias("total"), F.min("part").alias("from")).where(F.col("total") >= min_docs)
     late = found.where(F.col("kind") == PENDING).join(runs, key, "left_semi").select("id", "row", "pos")
@@ -188,6 +199,7 @@ def keep_lines(text: str | None, bitmap: bytes | None) -> str:
 
 def apply(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """``docs``' id and ``extra`` columns with n_lines, n_dropped and kept (the kept text)."""
+    extra = tuple(c for c in extra if c not in (id_col, "n_lines", "n_dropped", "kept"))
     left = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__row"), *(F.col(c).alias(f"__x{i}") for i, c in enumerate(extra)))
     both = left.join(maps.hint("shuffle_hash"), left["__id"].eqNullSafe(maps["id"]) & (left["__row"] == maps["row"]), "left")
     kinds = [docs.schema[c].dataType.simpleString() for c in extra]
@@ -208,5 +220,7 @@ def apply(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, policy: str = "all", extra: tuple[str, ...] = ()) -> DataFrame:
-    maps, _ = shared.written(bitmaps(drops(docs, id_col, text_col, min_docs, min_chars, policy)), "bitmaps")
+    folders: list[str] = []
+    maps, _ = shared.written(bitmaps(drops(docs, id_col, text_col, min_docs, min_chars, policy, folders)), "bitmaps")
+    shared.remove(docs.sparkSession, *folders)
     return apply(docs, maps, id_col, text_col, extra)

@@ -40,7 +40,7 @@ MAX_LABELLED = 6000
 def _count(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offs) - 1
     s, e, d = tk.spans(buf, offs, tk.NOT_SPACE)
-    p = tk.prefix(buf)
+    p = tk.eights(buf)
     h = tk.span_hash(p, s, e)
     chars = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])

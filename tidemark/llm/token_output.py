@@ -1,9 +1,10 @@
 """Token ids as binary files: canonical length-limited Huffman codes from global counts.
 
-``Encoder`` turns whole texts into ids with the tokenizers library. A text is cut where this
-kind of tokenizer always begins anew (white space, and borders of ASCII letters or digits with
-ASCII marks other than the apostrophe); distinct pieces are encoded once and remembered, which
-gives the ids of the whole text.
+``Encoder`` turns whole texts into ids with the tokenizers library. Where the tokenizer begins anew at
+white space and at borders of ASCII letters or digits with ASCII marks other than the apostrophe,
+which ``Encoder`` tries out, a text is cut there; distinct pieces are encoded once and remembered, which gives
+the ids of the whole text. Pieces are one if their bytes are (in a slice) or 128 bits of hashes (between
+slices). Texts for any other tokenizer are encoded as they are.
 
 Writing: ids go to a table in the shared folder, which is removed at the end; their counts (a
 row for each vocabulary entry at most) reach the driver; a package-merge gives lengths of
@@ -17,8 +18,10 @@ File: b"TMHF", u32 length of the zlib-packed code lengths (a byte for each id),
 blocks: u32 documents, u32 checkpoints, u32 payload bytes, i64 ids, u8 id-is-set, u32 tokens of
 each document, u16 bits of each interval, payload. Little-endian.
 
-Null text: empty, so only the end id. Null document ids come first. Rows of one document id all
-stay, in the order of their texts' hashes. An empty table gives no files and no rows.
+Null text: empty, so only the end id. Ids are longs (other types: TypeError); null ones come first.
+Rows of one document id all stay, in the order of their texts' hashes, and are spread over as many files as they
+need. An empty table gives no files and no rows. Columns besides id and text aren't read, so their names may
+be any. A text is held whole in one task, at some 60 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -74,10 +77,14 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         mark = self.tok.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.fold = tk.LOWER if self._ids("Ab ZX") == self._ids("ab zx") else tk.SAME
+        probes = ("ab", "Zx's", "12", "é漢", ",", "(!", "_"), ("ab", ",", "1a", "...", "é'"), ("the", "!", "of")
+        self.cuts = all(self._ids(" ".join(x)) == [i for u in x for i in self._ids(u)] for x in probes)
+        self.cuts &= all(self._ids("".join(x)) == [i for u in x for i in self._ids(u)] for x in probes[1:])
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.place, self.check = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.used = np.zeros(0, np.int32)
 
@@ -92,7 +99,7 @@ class Encoder:
         self.start, self.count, self.used = o, c, self.used[at] // 2
         kept = keep[self.place]
         number = np.cumsum(keep) - 1
-        self.keys, self.place = self.keys[kept], number[self.place[kept]]
+        self.keys, self.place, self.check = self.keys[kept], number[self.place[kept]], self.check[kept]
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -125,24 +132,30 @@ class Encoder:
         """(ids of all texts, their number for each text)."""
         n = len(offs) - 1
         raw = buf.tobytes()
-        if any(x in raw for x in self.special):
+
+        def whole() -> tuple[np.ndarray, np.ndarray]:
             each = [self._ids(raw[a:b].decode()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+
+        if not self.cuts or any(x in raw for x in self.special):
+            return whole()
         s, e, d = units(buf, offs)
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        h = tk.span_hash(tk.prefix(buf, tk.CODE_LOWER), s, e)
-        uniq, one, back = np.unique(h, return_index=True, return_inverse=True)
-        near = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(near, len(self.keys) - 1)] == uniq
+        w = tk.eights(buf, self.fold)
+        uniq, one, back = np.unique(tk.span_hash(w, s, e), return_index=True, return_inverse=True)
+        size = e - s
+        check = tk.span_hash(w, s[one], e[one], 1)
+        near = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
+        known = self.keys[near] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+        if (size != size[one][back]).any() or not tk.same_bytes(w, s, w, s[one][back], size).all() or (known.any() and (self.check[near[known]] != check[known]).any()):
+            return whole()  # two pieces of one hash
         new = np.flatnonzero(~known)
         if len(new):
             if len(self.keys) + len(new) > CACHE_UNITS and len(self.keys):
                 self._forget()
-                near = np.searchsorted(self.keys, uniq)
-                known = self.keys[np.minimum(near, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+                near = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
+                known = self.keys[near] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
                 new = np.flatnonzero(~known)
             pool, count = self._learn(buf, s[one[new]], e[one[new]])
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
@@ -151,7 +164,7 @@ class Encoder:
             self.pool = np.concatenate([self.pool, pool])
             self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
             at = np.searchsorted(self.keys, uniq[new])
-            self.keys, self.place = np.insert(self.keys, at, uniq[new]), np.insert(self.place, at, place)
+            self.keys, self.place, self.check = np.insert(self.keys, at, uniq[new]), np.insert(self.place, at, place), np.insert(self.check, at, check[new])
         place = self.place[np.searchsorted(self.keys, uniq)]
         self.used[place] += 1
         which = place[back]
@@ -375,10 +388,19 @@ def write(docs: DataFrame, uri: str, tokenizer: str, id_col: str = "doc_id", tex
     """Writes the files of ``docs`` under ``uri``; gives their manifest (bucket, path, n_docs, n_ids)."""
     spark = docs.sparkSession
     n = shared.parts(spark)
-    cuts = docs.select(F.percentile_approx(F.col(id_col), [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
-    use = docs.select(F.coalesce(bucket, F.lit(0)).cast("int").alias("bucket"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col))
+    if docs.schema[id_col].dataType.simpleString() != "bigint":
+        raise TypeError(f"{id_col} must be a long")
+    place = F.coalesce(F.col(id_col), F.lit(-(1 << 63)).cast("long"))  # null ids come first
+    cuts = docs.select(F.percentile_approx(place, [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    cuts = sorted(cuts or [])
+    use = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    bucket = F.lit(0)
+    if cuts:
+        # an id that several cuts fall on has as many buckets more, by the hash of the text
+        place = F.coalesce(F.col("id"), F.lit(-(1 << 63)).cast("long"))
+        same = F.size(F.filter(F.lit(cuts), lambda c: c == place))
+        bucket = F.size(F.filter(F.lit(cuts), lambda c: c < place)) + F.floor((F.col("row") / F.lit(2.0**64) + 0.5) * (same + 1))
+    use = use.select(F.least(bucket, F.lit(len(cuts))).cast("int").alias("bucket"), "id", "row", "text")
     kind = "<u2" if encoder(tokenizer).tok.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
     sql = docs.schema[id_col].dataType.simpleString()
     ids, at = shared.written(use.mapInArrow(_tokens(tokenizer, end, kind), f"bucket int, id {sql}, row long, n int, ids binary"), "ids")

@@ -12,9 +12,12 @@ The counts are a table that grows with the input: a key holds class, order, cont
 folded. Up to ``MAX_CELLS`` rows it goes to the tasks whole; above that, the 5-grams of the scored
 URLs are joined with it. Both give the same scores.
 
-Null URL, or no ``://``: host and path are empty and the score is 0. With no accepted or no
-rejected URL to learn from, what no rule judges is allowed. Rows are judged one by one, so ties,
-repeats and extra columns don't matter.
+Up to ``INLINE_RULES`` rules are one expression; more are joined by host suffix and path prefix, with the
+same results. Null URL, or no ``://``: host and path are empty and the score is 0. With no accepted or no
+rejected URL to learn from, what no rule judges is allowed. Rows are judged one by one, so
+repeats don't matter, and columns besides id and URL aren't read, so names may be any. Of rules that fit with equally long host and
+path together, the one with the longer host counts, of equal rules the last. An empty table gives no
+rows. A URL is held whole in one task, at some 200 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ CONTEXT_BITS = (SYMBOLS**ORDER - 1).bit_length()
 #: Rows of the count table that are sent to the tasks (16 bytes each); a larger one is joined.
 MAX_CELLS = 2_000_000
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-MAX_RULES = 200
+#: Rules that make one expression; more are joined.
+INLINE_RULES = 200
 
 
 def host_of(url: str = "url") -> Column:
@@ -49,8 +53,6 @@ def path_of(url: str = "url") -> Column:
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits (host and path together, then the host), else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most make one expression")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -58,6 +60,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
+def joined_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``rows`` with ``__hit``, what ``rule_of`` gives, by equi-joins of each distinct (host, path)'s host suffixes and path prefixes of the lengths that rules have."""
+    table = {(h, p): v for v, h, p in rules}  # of equal rules the last counts
+    lengths: dict[str, set[int]] = {}
+    for h, p in table:
+        lengths.setdefault(h, set()).add(len(p))
+    spark = rows.sparkSession
+    hosts = spark.createDataFrame([(h, sorted(n)) for h, n in lengths.items()], "h string, lengths array<int>")
+    known = spark.createDataFrame([(h, p, v) for (h, p), v in table.items()], "h string, p string, verdict string")
+    labels = max(h.count(".") + 1 for h in lengths)
+    parts = F.split("__host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(labels), F.size(parts))), lambda i: F.array_join(F.slice(parts, -i, i), "."))
+    at = rows.select("__host", "__path").distinct().select("__host", "__path", F.explode(ends).alias("h")).join(hosts, "h")
+    at = at.select("__host", "__path", "h", F.explode(F.filter("lengths", lambda n: n <= F.length("__path"))).alias("n"))
+    at = at.select("__host", "__path", "h", F.substring("__path", F.lit(1), F.col("n")).alias("p")).join(known, ["h", "p"])
+    longest = F.struct(F.length("h") + F.length("p"), F.length("h"))
+    best = at.groupBy("__host", "__path").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), longest).alias("__hit"))
+    return rows.join(best, ["__host", "__path"], "left")
+
+
 @dataclass
 class Model:
     """cells[class][order]: (indices, counts) of context * 256 + byte, or None and the table of (key, n); threshold of the score; None: allow all."""
@@ -132,9 +154,9 @@ class Scorer:
         return (diff[offs[1:]] - diff[offs[:-1]]) / np.maximum(np.diff(offs), 1)
 
 
-def _score(cells: list, name: str, extra: int):
+def _score(held, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(cells)
+        scorer = Scorer(held.value)
         for b in batches:
             for lo, hi, buf, offs in tk.slices(b.column(0)):
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[1:]), pa.array(scorer(buf, offs), pa.float64())], [*b.schema.names[1:], name])
@@ -193,13 +215,14 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
     if model.table is not None:
         return joined_scores(rows, model.table).select(*rest, "score")
     shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.select("__seen", *rest).mapInArrow(_score(model.cells, "score", len(rest)), f"{shape}, score double")
+    return rows.select("__seen", *rest).mapInArrow(_score(rows.sparkSession.sparkContext.broadcast(model.cells), "score"), f"{shape}, score double")
 
 
 def parsed(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Adds __host, __path, __hit (rule, verdict) and __seen (what the models read) to ``pages``."""
     out = pages.withColumn("__host", host_of(url_col)).withColumn("__path", path_of(url_col))
-    return out.withColumn("__hit", rule_of(F.col("__host"), F.col("__path"), rules)).withColumn("__seen", F.concat("__host", "__path"))
+    out = out.withColumn("__seen", F.concat("__host", "__path"))
+    return joined_rules(out, rules) if len(rules) > INLINE_RULES else out.withColumn("__hit", rule_of(F.col("__host"), F.col("__path"), rules))
 
 
 def fit(judged: DataFrame, url_col: str = "url", max_cells: int | None = None) -> Model:
