@@ -37,14 +37,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group."""
-    gone = near_dedup.groups(docs).where(~F.col("kept")).select("row").distinct()
-    known = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    return known.join(gone.hint("shuffle_hash"), "row", "left_anti").select(*COLUMNS)
+    gone = near_dedup.groups(docs).where(~F.col("kept")).select("row", "row2").distinct()
+    known = docs.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("row2", F.hash("doc_id", "text"))
+    return known.join(gone.hint("shuffle_hash"), ["row", "row2"], "left_anti").select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, in its words or re-parameterised."""
-    known = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    known = docs.withColumn("row", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("doc_id", "text").alias("b")))
     leaks = decontaminate.matches(known, registry.table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct()
     return known.join(leaks, "row", "left_anti").select(*COLUMNS)
 
