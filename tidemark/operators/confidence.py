@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 
+SIX = ("top_similarity", "mean_similarity", "source_count", "agreement", "recency", "authority")
+
 
 def recency(kind: Column, days: Column, policy: config.ConfidencePolicy) -> Column:
     lives = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in policy.half_life.items()))

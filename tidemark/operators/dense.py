@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import text as T
 from . import common
 
@@ -64,17 +65,16 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, m = held.value
-            best_s, best_c = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                ok, v = _matrix(b.column(1))
-                if not len(ok):
-                    continue
-                s = np.concatenate([best_s, np.round(m @ v.T, 6) + 0.0], 1)
-                c = np.concatenate([best_c, np.broadcast_to(np.asarray(b.column(0))[ok], (len(ids), len(ok)))], 1)
-                at = np.lexsort((c, -s), axis=1)[:, :k]
-                best_s, best_c = np.take_along_axis(s, at, 1), np.take_along_axis(c, at, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_c.ravel()), pa.array(best_s.ravel())], ["query_id", "chunk_id", "score"])
+            best = kernels.TopK(len(ids), k)
+            step = max(1, 4_000_000 // len(ids))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, step):
+                    b = whole.slice(lo, step)
+                    ok, v = _matrix(b.column(1))
+                    if len(ok):
+                        best.add(np.round(m @ v.T, 6) + 0.0, np.asarray(b.column(0))[ok])
+            q, c, s = best.result()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c, pa.int64()), pa.array(s)], ["query_id", "chunk_id", "score"])
 
         got = rows.mapInArrow(run, "query_id long, chunk_id long, score double")
         out = got if out is None else out.unionByName(got)
@@ -95,26 +95,9 @@ def hashed_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, vector): the hashed vectors as arrays, built from each row by itself, without a shuffle; a text without tokens points along dimension 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, float]] = {}
-        for b in batches:
-            out = np.zeros((b.num_rows, DIM), np.float32)
-            for i, toks in enumerate(b.column(1).to_pylist()):
-                for t in toks:
-                    if t not in seen:
-                        h = hashlib.md5(t.encode()).hexdigest()
-                        seen[t] = int(h[:2], 16), 1.0 if int(h[2], 16) % 2 == 0 else -1.0
-                    d, s = seen[t]
-                    out[i, d] += s
-                if not out[i].any():
-                    out[i, 0] = 1.0
-            if len(seen) > 500_000:
-                seen.clear()
-            offsets = pa.array(np.arange(0, out.size + 1, DIM, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], ["id", "vector"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("toks")).mapInArrow(run, f"id {kind}, vector array<float>")
+    from . import lexical
+
+    return lexical.forward(docs, id_col, text_col, vectors=True).select(F.col("chunk_id").alias("id"), "vector")
 
 
 def blake_embedding(text: str, dim: int = DIM) -> list[float]:

@@ -39,6 +39,8 @@ def retrieve(dense: DataFrame | None, lexical: DataFrame | None, cfg: config.Ret
     cols = ["query_id", "chunk_id", "score", "rank", "origin"]
     if len(some) == 1:
         return some[0][0].where(F.col("rank") <= top).select(*cols)
+    dense, lexical = dense.persist(), lexical.persist()  # a few rows for each query, read three times
+    some = [(dense, cfg.w_dense), (lexical, cfg.w_bm25)]
     kinds = dense.select("query_id").distinct().withColumn("d", F.lit(1)).join(lexical.select("query_id").distinct().withColumn("b", F.lit(1)), "query_id", "full_outer")
     both = kinds.where("d = 1 and b = 1").select("query_id")
     one = kinds.where("d is null or b is null").select("query_id")

@@ -1,37 +1,41 @@
-"""BM25 over postings, for a batch of queries in one job.
-
-``index`` keeps postings (token, chunk_id, tf), term_stats (token, df, idf) and doc_stats
-(chunk_id, dl); statistics cover all chunks, filters apply when scoring. ``search`` needs no
-stored index. Up to ``QUERY_TERMS`` query terms are broadcast: one pass counts their frequencies,
-a second scores each partition's chunks for all queries in numpy and passes on the k best, so no
-(query, chunk) pair is shuffled. Beyond that, ``scores`` does it by joins. Repeated query tokens
-count repeatedly.
+"""BM25 over a forward index, for a batch of queries in one job.
+
+``index`` tokenises every chunk once: a row of term hashes (64 bits) with their counts and the chunk's
+length, beside the columns that filters read, and on request its hashed vector. ``search`` takes an index (or makes one) and
+never sees a text. Up to ``QUERY_TERMS`` query terms are broadcast: one pass over the index counts their
+frequencies, a second scores each partition's chunks for all queries in numpy and passes on the
+k best, so no (query, chunk) pair is shuffled. Beyond that, ``scores`` does it by joins. Statistics
+cover all chunks, filters apply when scoring. Repeated query tokens count repeatedly.
+
+``kept`` holds the index of a collection as a table beside it, by the collection's version, so a write makes the
+next search build it anew and none in between does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import kernels
 from ..functions import text as T
-from . import common
+from . import common, store
 
 #: (query, term) rows that are broadcast at most; more go by joins.
 QUERY_TERMS = 50_000
+DIM = 256
 
 
 @dataclass
 class Index:
-    postings: DataFrame
-    terms: DataFrame
-    docs: DataFrame
+    """``rows``: chunk_id, dl, terms, tfs, vector (if made) and carried columns."""
+
+    rows: DataFrame
     n: int
     avgdl: float
 
@@ -66,9 +70,56 @@ def term_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "tex
     return one.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.round(idf("df", n), 6))
 
 
-def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
-    n, avgdl = corpus(chunks, id_col, text_col)
-    return Index(postings(chunks, id_col, text_col), term_stats(chunks, id_col, text_col), doc_stats(chunks, id_col, text_col), n, avgdl)
+def forward(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", carry: Sequence[str] = (), vectors: bool = False) -> DataFrame:
+    """The rows of an index: one Arrow pass over the lower-cased texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = kernels.Signs()
+        for b in batches:
+            for lo, hi, buf, offs in kernels.slices(b.column(1)):
+                n = hi - lo
+                h, s, e, d = kernels.tokens(buf, offs)
+                order = np.lexsort((h, d))
+                hs, ds = h[order], d[order]
+                new = np.ones(len(hs), bool)
+                new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+                at = np.flatnonzero(new)
+                tf = np.diff(np.append(at, len(hs)))
+                ends = np.searchsorted(ds[at], np.arange(n + 1)).astype(np.int32)
+                cols = [b.column(0)[lo:hi], pa.array(np.bincount(d, minlength=n), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(hs[at].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))]
+                if vectors:
+                    one = order[at]
+                    dim, sign = signs(hs[at], buf, s[one], e[one])
+                    v = np.bincount(ds[at] * DIM + dim, sign * tf, minlength=n * DIM).reshape(n, DIM).astype(np.float32)
+                    v[~v.any(1), 0] = 1.0
+                    cols.append(pa.ListArray.from_arrays(np.arange(0, v.size + 1, DIM, dtype=np.int32), pa.array(v.ravel())))
+                yield pa.RecordBatch.from_arrays([*cols, *(c[lo:hi] for c in b.columns[2:])], ["chunk_id", "dl", "terms", "tfs", *["vector"] * vectors, *(f"x{i}" for i in range(len(carry)))])
+
+    kind = lambda c: chunks.schema[c].dataType.simpleString()
+    shape = f"chunk_id {kind(id_col)}, dl long, terms array<long>, tfs array<int>" + ", vector array<float>" * vectors + "".join(f", x{i} {kind(c)}" for i, c in enumerate(carry))
+    got = chunks.select(F.col(id_col).alias("chunk_id"), F.lower(T.text_or_empty(F.col(text_col))).alias("low"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(carry))).mapInArrow(run, shape)
+    return got.select("chunk_id", "dl", "terms", "tfs", *["vector"] * vectors, *(F.col(f"x{i}").alias(c) for i, c in enumerate(carry)))
+
+
+def index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", carry: Sequence[str] = (), vectors: bool = False) -> Index:
+    """An index kept by the session (in memory, then on disk)."""
+    return _measured(forward(chunks, id_col, text_col, carry, vectors).persist())
+
+
+def _measured(rows: DataFrame) -> Index:
+    n, total = rows.agg(F.count("*"), F.sum("dl")).first()
+    return Index(rows, n, total / n if n and total else 1.0)
+
+
+def kept(collection: store.Collection, id_col: str = "chunk_id", text_col: str = "text", carry: Sequence[str] = (), vectors: bool = False) -> Index:
+    """The index of a collection's present version, from its table; built when there is none."""
+    spark, version = collection.spark, collection.version
+    at = f"{collection.path}/index-{id_col}-{text_col}-{int(vectors)}-{'-'.join(carry)}/v{version}"
+    done, p = collection.file(f"{at}/_SUCCESS", whole=True)
+    rows = forward(collection.read(), id_col, text_col, carry, vectors)
+    if not done.exists(p):
+        rows.write.mode("overwrite").parquet(at)
+    return _measured(spark.read.schema(rows.schema).parquet(at))
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -91,58 +142,76 @@ def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text
     return part.join(asked, "token").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).where("score > 0")
 
 
+def _postings(vocab: np.ndarray, terms: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, place in ``vocab``, count) of the postings of query terms."""
+    h = np.asarray(terms.flatten())
+    doc = np.repeat(np.arange(len(terms)), np.asarray(terms.value_lengths()))
+    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+    ok = np.flatnonzero(vocab[at] == h) if len(h) else np.zeros(0, np.int64)
+    return doc[ok], at[ok], np.asarray(tfs.flatten())[ok]
+
+
+def _frequencies(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = held.value
+        df = np.zeros(len(vocab), np.int64)
+        for b in batches:
+            df += np.bincount(_postings(vocab, b.column(0), b.column(1))[1], minlength=len(vocab))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
+
+    return run
+
+
 def _score(held, k: int):
     """Scores a partition's chunks for all queries at once and keeps the k best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vocab, weight, first, query, qtf, avgdl = held.value
         nq = len(qids)
-        best_s, best_c = np.zeros((nq, 0)), np.zeros((nq, 0), np.int64)
+        best = kernels.TopK(nq, k, 5e-7)
         k1, b1 = config.BM25_K1, config.BM25_B
+        step = max(1, min(2000, 4_000_000 // max(1, nq)))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                ids, dl, toks = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(float), b.column(2)
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                ids, dl = np.asarray(b.column(0)), np.asarray(b.column(1)).astype(float)
                 n = len(ids)
-                at = pc.index_in(toks.flatten(), vocab)
-                doc = np.repeat(np.arange(n), pc.list_value_length(toks).to_numpy(zero_copy_only=False))
-                ok = np.asarray(at.is_valid())
-                key, tf = np.unique(doc[ok] * len(vocab) + at.drop_null().to_numpy(), return_counts=True)
-                d, t = key // len(vocab), key % len(vocab)
+                d, t, tf = _postings(vocab, b.column(2), b.column(3))
                 w = weight[t] * (tf * (k1 + 1) / (tf + k1 * ((1 - b1) + b1 * dl[d] / avgdl)))
                 many = first[t + 1] - first[t]
                 e = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[t], many)
-                s = np.bincount(query[e] * n + np.repeat(d, many), qtf[e] * np.repeat(w, many), minlength=nq * n).reshape(nq, n).round(6)
-                s = np.concatenate([best_s, s], 1)
-                c = np.concatenate([best_c, np.broadcast_to(ids, (nq, n))], 1)
-                top = np.lexsort((c, -s), axis=1)[:, :k]
-                best_s, best_c = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
-        keep = best_s > 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qids[:, None], keep.shape)[keep]), pa.array(best_c[keep]), pa.array(best_s[keep])], ["query_id", "chunk_id", "score"])
+                best.add(np.bincount(query[e] * n + np.repeat(d, many), qtf[e] * np.repeat(w, many), minlength=nq * n).reshape(nq, n).round(6), ids)
+        q, c, s = best.result()
+        yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(c, pa.int64()), pa.array(s)], ["query_id", "chunk_id", "score"])
 
     return run
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 10, id_col: str = "chunk_id", text_col: str = "text", filters: dict | None = None) -> DataFrame:
-    """The k best chunks of each query: query_id, chunk_id, score (6 places), rank, origin."""
+def search(queries: DataFrame, chunks: DataFrame | Index, k: int = 10, id_col: str = "chunk_id", text_col: str = "text", filters: dict | None = None) -> DataFrame:
+    """The k best chunks of each query: query_id, chunk_id, score (6 places), rank, origin. ``chunks``: an index that carries the filters' columns, or a table."""
     asked = _asked(queries)
     rows = asked.limit(QUERY_TERMS + 1).toPandas()
-    if len(rows) > QUERY_TERMS or chunks.schema[id_col].dataType.simpleString() != "bigint":
-        return common.top_k(scores(queries, chunks, id_col, text_col, filters), k).withColumn("origin", F.lit("bm25"))
+    if isinstance(chunks, DataFrame):
+        if len(rows) > QUERY_TERMS or chunks.schema[id_col].dataType.simpleString() != "bigint":
+            return common.top_k(scores(queries, chunks, id_col, text_col, filters), k).withColumn("origin", F.lit("bm25"))
+        chunks = index(chunks, id_col, text_col, tuple(filters or ()))
     spark = queries.sparkSession
-    rows = rows.sort_values(["token", "query_id"])
-    vocab = sorted(set(rows["token"]))
-    words = F.broadcast(spark.createDataFrame([(w,) for w in vocab], "token string"))
-    toks = chunks.select(F.col(id_col).alias("chunk_id"), T.tokens(F.col(text_col)).alias("toks"), F.coalesce(common.matches(filters or {}), F.lit(False)).alias("kept"))
-    # one pass for the statistics: the empty token counts chunks and their lengths
-    seen = toks.select(F.size("toks").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("token"))
-    counts = seen.join(words.unionByName(spark.createDataFrame([("",)], "token string")), "token").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
-    df = {r["token"]: (r["df"], r["dl"]) for r in counts.collect()}  # a row for each query term at most
-    n, total = df.get("", (0, 0))
-    weight = np.array([np.log(1.0 + (n - df.get(w, (0, 0))[0] + 0.5) / (df.get(w, (0, 0))[0] + 0.5)) for w in vocab])
+    words = {w: kernels.hash_of(w) for w in set(rows["token"])}
+    vocab = np.array(sorted(set(words.values())), np.int64)
+    if not len(vocab):
+        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank long, origin string")
+    at = np.searchsorted(vocab, rows["token"].map(words).to_numpy(np.int64))
+    order = np.argsort(at, kind="stable")
+    rows, at = rows.iloc[order], at[order]
+    counted = chunks.rows.select("terms", "tfs").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocab)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each query term at most
+    df = np.zeros(len(vocab))
+    for r in counted:
+        df[r["term"]] = r["df"]
+    weight = np.log(1.0 + (chunks.n - df + 0.5) / (df + 0.5))
     qids, query = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
-    at = np.searchsorted(np.array(vocab, object), rows["token"].to_numpy(object))
     first = np.searchsorted(at, np.arange(len(vocab) + 1))
-    held = spark.sparkContext.broadcast((qids, pa.array(vocab, pa.string()), weight, first, query, rows["qtf"].to_numpy(float), total / n if n and total else 1.0))
-    found = toks.where("kept").select("chunk_id", F.size("toks").cast("long"), "toks").mapInArrow(_score(held, k), "query_id long, chunk_id long, score double")
+    held = spark.sparkContext.broadcast((qids, vocab, weight, first, query, rows["qtf"].to_numpy(float), chunks.avgdl))
+    use = chunks.rows.where(common.matches(filters)) if filters else chunks.rows
+    found = use.select("chunk_id", "dl", "terms", "tfs").mapInArrow(_score(held, k), "query_id long, chunk_id long, score double")
     return common.top_k(found, k).withColumn("origin", F.lit("bm25"))
