@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a query-side table that is broadcast at most; more go by shuffle or in blocks.
 BROADCAST_ROWS = 200_000
@@ -39,3 +40,20 @@ def matches(filters: dict[str, object]) -> Column:
         else:
             out = out & F.col(key).eqNullSafe(F.lit(want))
     return out
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return all(_orderable(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else True
+
+
+def last(columns: Sequence[str], order: Sequence[str], of: DataFrame) -> Column:
+    """An aggregate: the columns (and those of ``order``) of the row that comes last by ``order``, then by the others; ones without an order, as maps have none, compare as JSON."""
+    rows = F.struct(*order, *columns)
+    odd = [c for c in columns if not _orderable(of.schema[c].dataType)]
+    if not odd:
+        return F.max(rows)
+    return F.max_by(rows, F.struct(*order, *(F.to_json(F.struct(c)).alias(c) if c in odd else F.col(c) for c in columns)))

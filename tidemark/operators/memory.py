@@ -50,6 +50,11 @@ def listed(records: DataFrame, kind: str | None = None, *, status: str | None =
     return records.where(common.matches(want))
 
 
+def get(records: DataFrame, record_id: int) -> DataFrame:
+    """The record of an id: no row or one; the filter is pushed into the scan."""
+    return records.where(F.col("record_id") == F.lit(record_id))
+
+
 def stats(records: DataFrame) -> DataFrame:
     """(kind, n_active, n_total); kinds without records are there with zeros."""
     kinds = F.broadcast(records.sparkSession.createDataFrame([(k,) for k in config.KINDS], "kind string"))
@@ -59,7 +64,7 @@ def stats(records: DataFrame) -> DataFrame:
 
 def keep_latest(rows: DataFrame, subject: str, order: list[str]) -> DataFrame:
     """The last row of each subject: a partial aggregate, so no subject is gathered."""
-    last = F.max(F.struct(*order, *[c for c in rows.columns if c not in (*order, subject)]))
+    last = common.last([c for c in rows.columns if c not in (*order, subject)], order, rows)
     return rows.groupBy(subject).agg(last.alias("x")).select(subject, "x.*")
 
 

@@ -1,24 +1,28 @@
 """Versioned Parquet collections: upsert, delete, count, clear, and the keyed embedding cache.
 
-A write makes a new version folder and then puts its number in the ``CURRENT`` file, so readers
-see a whole version and a failed write leaves the old one. ``seq`` keeps the place of a row's
-first insertion.
+A write makes a new version folder and then, by one rename to a name that isn't there yet, the file
+``CURRENT.<n>`` that says that it is whole. Readers take the highest of these, so a write that stops
+anywhere leaves the old version as it is, and no folder is written twice. ``seq`` keeps the place of a
+row's first insertion. What depends on a collection's content, as caches do, is registered with ``on_write``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import dense
+from . import common, dense
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", seq: str = "seq", version: str = "version") -> DataFrame:
     """Last write wins by key; a row that is replaced keeps its place, others follow in their order. Both have ``version``; ``seq`` in ``old``."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (key, seq, version, "__new")]
-    got = both.groupBy(key).agg(F.max(F.struct("__new", version, *rest)).alias("x"), F.min(seq).alias(seq))
+    got = both.groupBy(key).agg(common.last(rest, ["__new", version], both).alias("x"), F.min(seq).alias(seq))
     return got.select(key, F.col(f"x.{version}").alias(version), *(F.col(f"x.{c}").alias(c) for c in rest), seq)
 
 
@@ -34,34 +38,49 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._after: list[Callable[[], None]] = []
 
-    def _file(self, name: str):
-        p = self._hadoop.Path(f"{self.path}/{name}")
+    def file(self, name: str, whole: bool = False):
+        p = self._hadoop.Path(name if whole else f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def on_write(self, then: Callable[[], None]) -> None:
+        """``then`` runs after each write that changed something."""
+        self._after.append(then)
+
+    def _numbers(self, begin: str) -> list[int]:
+        fs, p = self.file("")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(n[len(begin) :]) for n in names if n.startswith(begin) and n[len(begin) :].isdigit()]
+
     @property
     def version(self) -> int:
-        fs, p = self._file("CURRENT")
-        if not fs.exists(p):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        return max(self._numbers("CURRENT."), default=0)
 
     def read(self) -> DataFrame:
         v = self.version
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
 
     def write(self, rows: DataFrame) -> int:
-        v = self.version + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        fs, tmp = self._file(f"CURRENT.{v}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        _, at = self._file("CURRENT")
-        fs.delete(at, False)
-        fs.rename(tmp, at)
+        v = max([self.version, *self._numbers("v")]) + 1  # a folder that a stopped write left isn't used again
+        rows.write.mode("errorifexists").parquet(f"{self.path}/v{v}")
+        fs, tmp = self.file(f"_making.{v}.{uuid.uuid4().hex}")
+        fs.create(tmp, True).close()
+        _, at = self.file(f"CURRENT.{v}")
+        if not fs.rename(tmp, at):
+            raise OSError(f"version {v} of {self.path} was written by someone else")
+        for then in self._after:
+            then()
         return v
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes all but the last ``keep`` versions, and folders that stopped writes left before them."""
+        fs, _ = self.file("")
+        old = sorted(self._numbers("CURRENT."))[:-keep]
+        for v in [n for n in self._numbers("v") if old and n <= old[-1]]:
+            for name in (f"CURRENT.{v}", f"v{v}"):
+                fs.delete(self.file(name)[1], True)
+
     def upsert(self, rows: DataFrame, key: str = "chunk_id") -> int:
         v = self.version
         high = (self.read().agg(F.max("seq")).first()[0] or 0) if v else 0
@@ -76,6 +95,10 @@ class Collection:
             self.write(left)
         return n
 
+    def get(self, one: object, key: str = "chunk_id") -> Row | None:
+        """The row of a key, or None; the filter reaches the Parquet scan."""
+        return self.read().where(F.col(key) == F.lit(one)).first()
+
     def count(self) -> int:
         return self.read().count()
 
