@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +31,20 @@ def report(cases: DataFrame, ranked: DataFrame, relevant: DataFrame, k: int) ->
         raise ValueError("the evaluation set is empty")
     got = per_case(cases, ranked, relevant, k)
     return got.agg(F.lit(n).cast("long").alias("cases"), F.lit(k).cast("long").alias("k"), *(F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(to) for c, to in (("hit", "hit_rate"), ("mrr", "mrr"), ("ndcg", "ndcg"))))
+
+
+def judged(first: Column, second: Column, judge: Callable[[str, str], float]) -> Column:
+    """A pluggable judge's score of two texts (context and answer, or question and answer), held within 0 and 1; a judge that fails, or says no number, gives 0."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str | None, y: str | None) -> float:
+            try:
+                got = float(judge(x or "", y or ""))
+            except Exception:
+                return 0.0
+            return min(1.0, max(0.0, got)) if got == got else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run(first, second)
