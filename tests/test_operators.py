@@ -264,10 +264,17 @@ def test_chunkers(spark):
     assert {tuple(r) for r in c} == {(1, f"about {len(words)}"), (2, None)}
 
 
-def test_code(spark):
-    from tidemark.plans import samples
+FILES = (
+    ("app/main.py", 'import os\nfrom json import dumps\n\n\nclass Service:\n    """Serves."""\n\n    def run(self):\n        return dumps(os.environ.copy())\n\n\n@app.get("/health")\ndef health():\n    """Says that it lives."""\n    return "ok"\n'),
+    ("app/broken.py", "def nothing(:\n"),
+    ("tests/test_main.py", "from app.main import health\n\n\ndef test_health():\n    assert health() == 'ok'\n"),
+    ("web/util.js", "import { a } from 'lib-a'\nexport const add = (x, y) => x + y\nexport async function load(url) {\n  return fetch(url)\n}\n"),
+    ("core/lib.rs", "use std::fmt\npub struct Point { x: i32 }\nfn area(p: Point) -> i32 { 0 }\n"),
+)
+
 
-    f = code_index.files(spark.createDataFrame(list(samples.FILES), "file string, text string"))
+def test_code(spark):
+    f = code_index.files(spark.createDataFrame(list(FILES), "file string, text string"))
     rec = code_index.records(f)
     by = {r["subject"]: r for r in rec.collect()}
     assert "endpoint" in by["app/main.py::health"]["tags"] and "GET /health" in by["app/main.py::health"]["text"] and by["tests/test_main.py"]["tags"] == ["file", "test"]

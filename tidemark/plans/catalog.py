@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import text as T
 from ..operators import answer, cache, chunking, code_index, common, confidence, dense, evaluation, fusion, lexical, memory, packing, scan, store
 from ..sources import files
 from ..streaming import events
+from .. import engine
 from . import recall, samples
 from . import sql as S
 
@@ -58,12 +60,17 @@ class Tables:
     def chunks(self) -> DataFrame:
         return self.documents.select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source", "n_chars")
 
+    @functools.cached_property
+    def index(self) -> lexical.Index:
+        """Terms and hashed vectors of the documents: their texts are tokenised once for a query."""
+        return lexical.index(self.chunks(), carry=("lang", "source"), vectors=True)
+
     def lexical(self, k: int = 24, filters: dict | None = None) -> DataFrame:
-        return lexical.search(self.asked(), self.chunks(), k, filters=filters)
+        return lexical.search(self.asked(), self.index, k, filters=filters)
 
     def hashed(self, k: int = 24) -> DataFrame:
         q = dense.hashed_vectors(self.asked(), "query_id", "query").select(F.col("id").alias("query_id"), "vector")
-        return dense.search(q, dense.hashed_vectors(self.documents, "doc_id", "text"), k, "id", "vector")
+        return dense.search(q, self.index.rows, k, "chunk_id", "vector")
 
     def vector_queries(self) -> DataFrame:
         return self.embeddings.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -78,7 +85,7 @@ class Tables:
         return scan.containing(self.documents, self.benchmark)
 
     def code(self) -> DataFrame:
-        return self.spark.createDataFrame(list(samples.FILES), "file string, text string")
+        return samples.code(self.documents)
 
 
 # Text functions
@@ -258,22 +265,64 @@ def answer_mode(t: Tables) -> DataFrame:
     return t.signals().select("query_id", "score", "mode")
 
 
-@query()
+_SAID = """unnest(list_filter([CASE WHEN coalesce(n_evidence, 0) = 0 THEN 'no evidence in memory' ELSE 'best similarity ' || printf('%.2f', coalesce(round(top, 4), 0)) || ' among ' || n_evidence || ' entries' END,
+  CASE WHEN n_evidence > 0 THEN 'source signal ' || printf('%.2f', coalesce(round(sources, 4), 0)) || ', retrievers agree ' || printf('%.2f', coalesce(round(agree, 4), 0)) END,
+  CASE WHEN n_evidence > 0 THEN 'recency ' || printf('%.2f', coalesce(round(recent, 4), 0)) || ', authority ' || printf('%.2f', coalesce(round(auth, 4), 0)) END,
+  CASE WHEN conflict THEN 'contradicting entries about ' || subjects END], lambda x: x IS NOT NULL)) AS said"""
+
+
+@query(f"WITH {S.SIGNALS}, l AS (SELECT query_id, {_SAID} FROM s1 LEFT JOIN (SELECT query_id, string_agg(subject, ', ' ORDER BY subject) AS subjects FROM clash GROUP BY query_id) USING (query_id)) SELECT query_id, said FROM l")
 def confidence_rationale(t: Tables) -> DataFrame:
     s = t.signals()
-    return s.select("query_id", F.posexplode(confidence.rationale(s)).alias("line", "said"))
+    return s.select("query_id", F.explode(confidence.rationale(s)).alias("said"))
 
 
-@query()
+@query(f"WITH RECURSIVE {S.EVIDENCE}, {S.PACKED} SELECT * FROM packed")
 def packed_context(t: Tables) -> DataFrame:
     return packing.pack(t.evidence())
 
 
-@query()
+_VERDICT = f"""WITH RECURSIVE {S.SIGNALS}, {S.PACKED}, verdict AS (SELECT query_id, score, {S.MODE} AS mode, conflict, coalesce(n_evidence, 0) AS n_evidence, {", ".join(f"coalesce(round({c}, 4), 0) AS {n}" for n, c in _SIX)},
+  coalesce(context, '') AS context, coalesce(tokens, 0) AS tokens, coalesce(used, 0) AS used, coalesce(truncated, false) AS truncated FROM s1 LEFT JOIN packed USING (query_id))"""
+
+
+@query(f"{_VERDICT} SELECT *, {S.SUGGESTION} AS suggestion FROM verdict")
 def recall_answer(t: Tables) -> DataFrame:
     return recall.answer(t.asked(), t.memory())
 
 
+@query(f"{_VERDICT} SELECT query_id, mode, score AS confidence, {S.SUGGESTION} AS suggestion, context, tokens, false AS cached, top_similarity, mean_similarity, source_count, agreement, recency, authority, conflict FROM verdict")
+def recall_payload(t: Tables) -> DataFrame:
+    return recall.payload(recall.answer(t.asked(), t.memory())).select("query_id", "payload.*").select("*", "signals.*").drop("signals")
+
+
+@query(f"WITH RECURSIVE benchmark AS (SELECT item_id, {S.SEARCH_WORDS} AS text FROM main.benchmark), {_VERDICT[len('WITH RECURSIVE '):]} SELECT query_id, 'deny' AS decision, 'Memory holds this already:' || chr(10) || substr(context, 1, 1500) AS reason FROM verdict WHERE mode = 'direct'")
+def search_redirects(t: Tables) -> DataFrame:
+    tools = t.spark.createDataFrame([("Grep",), ("Read",)], "tool string")
+    calls = t.benchmark.crossJoin(F.broadcast(tools)).select(F.col("item_id").alias("query_id"), "tool", F.col("text").alias("pattern"))  # two rows
+    return events.redirected(calls, lambda asked: recall.answer(asked, t.memory()))
+
+
+@query(f"WITH {S.MEM} SELECT record_id, kind, subject, status FROM mem WHERE record_id = 17")
+def record_lookup(t: Tables) -> DataFrame:
+    return memory.get(t.memory(), 17).select("record_id", "kind", "subject", "status")
+
+
+@query(f"""WITH {S.MEM}, d AS (SELECT subject, max(record_id) AS last FROM mem WHERE kind = 'decision' AND status = 'active' GROUP BY subject)
+SELECT record_id, subject, CASE WHEN last IS NOT NULL THEN 'superseded' ELSE status END AS status, NULL::BIGINT AS supersedes FROM mem LEFT JOIN (SELECT last FROM d) ON last = record_id UNION ALL SELECT -last, subject, 'active', last FROM d""")
+def supersede_links(t: Tables) -> DataFrame:
+    """Each subject's last decision is superseded by a new one."""
+    m = t.memory().select("record_id", "subject", "kind", "status", "supersedes")
+    last = memory.keep_latest(memory.listed(m, "decision").select("subject", "record_id"), "subject", ["record_id"])
+    new = last.select((-F.col("record_id")).alias("record_id"), "subject", F.lit("decision").alias("kind"), F.lit("active").alias("status"), F.col("record_id").alias("supersedes"))
+    return memory.supersede(m, new).select("record_id", "subject", "status", "supersedes")
+
+
+@query("SELECT role, count(*) AS n, sum(greatest(1, (length(text) + 3) // 4))::BIGINT AS tokens, round(sum(greatest(1, (length(text) + 3) // 4))::DOUBLE / sum(sum(greatest(1, (length(text) + 3) // 4))) OVER (), 6) AS share FROM conversations GROUP BY role")
+def usage_totals(t: Tables) -> DataFrame:
+    return engine.usage(t.conversations, "role")
+
+
 @query(f"WITH {S.MEM} SELECT record_id, subject, substr(text, 1, 220) AS text FROM mem WHERE kind = 'decision' AND status = 'active' ORDER BY age, record_id LIMIT 8")
 def recent_decisions(t: Tables) -> DataFrame:
     return memory.recent_decisions(t.memory()).select("record_id", "subject", "text")
@@ -341,9 +390,11 @@ def chunk_markdown(t: Tables) -> DataFrame:
     return chunking.chunk(heading, "markdown")
 
 
-@query()
+@query(f"""WITH {S.CODE}, c AS (SELECT file, unnest(CASE lang WHEN 'en' THEN ['import ' || source || repeat(chr(10), 3) || '@app.get("/doc/' || doc_id || '")', 'def read_' || doc_id || '():' || chr(10) || '    return ' || n_chars, 'class Doc' || doc_id || substr(text, strpos(text, 'class Doc') + 9 + length(doc_id::VARCHAR))]
+  WHEN 'de' THEN [split_part(text, chr(10), 1) || chr(10) || split_part(text, chr(10), 2), substr(text, strpos(text, 'function '))] WHEN 'fr' THEN [split_part(text, chr(10), 1), split_part(text, chr(10), 2)] ELSE [split_part(text, chr(10), 1), substr(text, strpos(text, 'func '))] END) AS text, unnest(range(3)) AS seq FROM code)
+SELECT file AS doc_id, seq, regexp_replace(text, '\\s+$', '') AS text, NULL::VARCHAR AS heading FROM c WHERE text IS NOT NULL""")
 def chunk_code(t: Tables) -> DataFrame:
-    return chunking.chunk(t.code().withColumnRenamed("file", "doc_id"), "code", 120, 20)
+    return chunking.chunk(t.code().select(F.col("file").alias("doc_id"), "text"), "code", 600, 20)
 
 
 @query()
@@ -383,34 +434,37 @@ def parse_citations(t: Tables) -> DataFrame:
 # Code
 
 
-def _rows(rows: list[tuple]) -> str:
-    return "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else "'" + v + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
-
-
-@query(f"SELECT * FROM ({_rows([('app/main.py', 'changed'), ('web/util.js', 'changed'), ('old/gone.go', 'removed'), ('app/broken.py', 'new'), ('tests/test_main.py', 'new'), ('core/lib.rs', 'new')])}) v(file, state)")
+@query(f"WITH {S.CODE} SELECT file, CASE lang WHEN 'en' THEN 'unchanged' WHEN 'de' THEN 'changed' ELSE 'new' END AS state FROM code UNION ALL SELECT 'gone/' || doc_id || '.go', 'removed' FROM code WHERE lang = 'es'")
 def code_diff(t: Tables) -> DataFrame:
-    stored = t.spark.createDataFrame([(f, h or "unknown") for f, h in samples.STORED], "file string, file_hash string")
-    return code_index.diff(code_index.files(t.code()), stored)
+    now = t.code()
+    stored = now.where("lang in ('en', 'de')").select("file", F.when(F.col("lang") == "en", T.hash16(F.col("text"))).otherwise("0" * 16).alias("file_hash"))
+    gone = now.where("lang = 'es'").select(F.concat(F.lit("gone/"), "doc_id", F.lit(".go")).alias("file"), F.lit("1" * 16).alias("file_hash"))
+    return code_index.diff(code_index.files(now), stored.unionByName(gone))
 
 
-@query(f"SELECT * FROM ({_rows([('app/main.py', 'json'), ('app/main.py', 'os'), ('tests/test_main.py', 'app.main'), ('web/util.js', 'lib-a'), ('core/lib.rs', 'std::fmt')])}) v(file, imported)")
+@query(f"WITH {S.CODE} SELECT file, CASE lang WHEN 'fr' THEN 'std::fr' ELSE source END AS imported FROM code WHERE lang IN ('en', 'de', 'fr')")
 def import_graph(t: Tables) -> DataFrame:
     return code_index.graph(code_index.files(t.code()))
 
 
-@query(f"SELECT language, n_files::BIGINT AS n_files FROM ({_rows([('python', 3), ('javascript', 1), ('rust', 1)])}) v(language, n_files)")
+@query(f"WITH {S.CODE} SELECT {S.LANGUAGE} AS language, count(*) AS n_files FROM code GROUP BY lang")
 def language_mix(t: Tables) -> DataFrame:
     return code_index.language_mix(code_index.files(t.code()))
 
 
-@query("SELECT file, symbol, symbol_type, line::BIGINT AS line, route FROM (" + _rows([("app/main.py", "Service", "class", 5, None), ("app/main.py", "Service.run", "method", 8, None), ("app/main.py", "health", "function", 13, "GET /health"), ("tests/test_main.py", "test_health", "function", 4, None), ("web/util.js", "load", "symbol", 3, None), ("web/util.js", "add", "function", 2, None), ("core/lib.rs", "area", "symbol", 3, None)]) + ") v(file, symbol, symbol_type, line, route)")
+@query(f"WITH {S.CODE}, {S.SYMBOLS} SELECT file, symbol, symbol_type, line, route FROM sym")
 def code_symbols(t: Tables) -> DataFrame:
     return code_index.symbols(code_index.files(t.code())).drop("snippet", "language")
 
 
-@query()
+@query(f"""WITH {S.CODE}, {S.SYMBOLS}, f AS (SELECT *, substr(sha256(text), 1, 16) AS file_hash, {S.LANGUAGE} AS language FROM code)
+SELECT file, file_hash, language, 'file' AS symbol_type, file AS subject, file AS source, 'file' AS tags, 'code' AS kind, 0.7::DOUBLE AS authority,
+  'file ' || file || ' (' || language || ', ' || n || ' symbols)' || chr(10) || 'imports: ' || CASE lang WHEN 'fr' THEN 'std::fr' WHEN 'en' THEN source WHEN 'de' THEN source ELSE '(none)' END || chr(10) || 'symbols: ' || names AS text
+FROM f JOIN (SELECT file, count(*) AS n, string_agg(symbol, ', ' ORDER BY place) AS names FROM sym GROUP BY file) USING (file)
+UNION ALL SELECT file, file_hash, language, symbol_type, file || '::' || symbol, file || ':' || line, symbol_type || CASE WHEN route IS NOT NULL THEN ',endpoint' ELSE '' END, 'code', 0.7::DOUBLE,
+  symbol_type || ' ' || symbol || CASE WHEN route IS NOT NULL THEN ' [' || route || ']' ELSE '' END || ' — ' || file || ':' || line || chr(10) || snippet FROM sym JOIN f USING (file)""")
 def code_records(t: Tables) -> DataFrame:
-    return code_index.records(code_index.files(t.code()))
+    return code_index.records(code_index.files(t.code())).withColumn("tags", F.array_join("tags", ","))
 
 
 # Evaluation

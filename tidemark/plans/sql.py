@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..config import AUTHORITY, NOW
+from ..config import AUTHORITY, NOW, SUGGESTIONS
 from ..functions import text as T
+from . import samples
 
 HEX = "'0123456789abcdef'"
 
@@ -85,3 +86,44 @@ def redacted(c: str) -> str:
 
 
 SECRET = " OR ".join("regexp_matches(coalesce(text, ''), '{}')".format(p.replace("'", "''")) for p, _ in T.SECRETS)
+
+_JACCARD = "len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+_AGE = "CASE WHEN age < 1 THEN 'today' WHEN age < 60 THEN age::BIGINT || 'd' ELSE (age::BIGINT // 30) || 'mo' END"
+#: Greedy packing of ``ev``, rank by rank; needs WITH RECURSIVE.
+PACKED = f"""items AS (SELECT ev.query_id, rank, similarity, first_value(similarity) OVER (PARTITION BY ev.query_id ORDER BY rank) AS best, list_distinct({tok('m.text')}) AS toks,
+  '- [' || ev.kind || '|sim ' || printf('%.2f', similarity) || '|' || {_AGE.replace('age', 'ev.age')} || CASE WHEN coalesce(m.source, '') <> '' THEN '|' || m.source ELSE '' END || '] ' || CASE WHEN coalesce(ev.subject, '') <> '' THEN ev.subject || ': ' ELSE '' END || m.text AS line FROM ev JOIN mem m USING (record_id)),
+fold AS (SELECT DISTINCT query_id, -1::BIGINT AS pos, 0::BIGINT AS spent, 0::BIGINT AS used, false AS cut, false AS done, []::VARCHAR[] AS lines, []::VARCHAR[][] AS sets FROM items
+  UNION ALL SELECT query_id, rank, CASE WHEN skip THEN spent ELSE spent + greatest(1, (length(said) + 3) // 4) END, CASE WHEN skip THEN used ELSE used + 1 END, cut OR (NOT over AND NOT again AND too_long), over,
+    CASE WHEN skip THEN lines ELSE list_append(lines, said) END, CASE WHEN skip THEN sets ELSE list_append(sets, toks) END
+  FROM (SELECT *, CASE WHEN too_long THEN substr(line, 1, 7984) ELSE line END AS said, over OR again OR (too_long AND used > 0) AS skip
+    FROM (SELECT f.*, x.rank, x.line, x.toks, f.done OR (x.similarity < x.best * 0.3::DOUBLE AND f.used > 0) AS over, f.spent + greatest(1, (length(x.line) + 3) // 4) > 2000 AS too_long,
+        len(list_filter(f.sets, lambda o: CASE WHEN len(o) = 0 OR len(x.toks) = 0 THEN false ELSE {_JACCARD.format(a='x.toks', b='o')} >= 0.85::DOUBLE END)) > 0 AS again
+      FROM fold f JOIN items x ON x.query_id = f.query_id AND x.rank = f.pos + 1))),
+packed AS (SELECT query_id, array_to_string(lines, chr(10)) AS context, used, spent AS tokens, cut AS truncated FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1)"""
+SUGGESTION = "CASE mode " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in SUGGESTIONS.items()) + " END"
+SEARCH_WORDS = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')[1:12], ' ')"
+
+
+def _template(text: str) -> str:
+    """An SQL expression of one of the code templates."""
+    out = text.replace("'", "''").replace("{{", "\0").replace("}}", "\1").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+    for k, c in {"source": "source", "id": "doc_id", "n": "n_chars", "lang": "lang"}.items():
+        out = out.replace("{" + k + "}", f"' || {c} || '")
+    return "'" + out.replace("\0", "{").replace("\1", "}") + "'"
+
+
+def _by_lang(values: dict[str, str]) -> str:
+    return "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items() if k) + f" ELSE {values['']} END"
+
+
+CODE = f"code AS (SELECT doc_id, lang, source, n_chars, source || '/' || doc_id || '.' || {_by_lang({k: repr(v) for k, v in samples.SUFFIX.items()} | {'': repr('go')})} AS file, {_by_lang({k: _template(v) for k, v in samples.TEXT.items()})} AS text FROM documents)"
+LANGUAGE = _by_lang({"en": "'python'", "de": "'javascript'", "fr": "'rust'", "": "'go'"})
+#: What each language's template declares: symbol, type, line, route and snippet.
+SYMBOLS = """sym AS (
+  SELECT file, 0 AS place, 'read_' || doc_id AS symbol, 'function' AS symbol_type, 5::BIGINT AS line, 'GET /doc/' || doc_id AS route, 'def read_' || doc_id || '():' AS snippet FROM code WHERE lang = 'en'
+  UNION ALL SELECT file, 1, 'Doc' || doc_id, 'class', 9, NULL, 'class Doc' || doc_id || ':' || chr(10) || lang FROM code WHERE lang = 'en'
+  UNION ALL SELECT file, 2, 'Doc' || doc_id || '.size', 'method', 12, NULL, 'def size(self):' FROM code WHERE lang = 'en'
+  UNION ALL SELECT file, 0, 'read_' || doc_id, 'symbol', 3, NULL, 'function read_' || doc_id || '(x) {' FROM code WHERE lang = 'de'
+  UNION ALL SELECT file, 1, 'size_' || doc_id, 'function', 2, NULL, 'export const size_' || doc_id || ' = (x) => x' FROM code WHERE lang = 'de'
+  UNION ALL SELECT file, 0, 'read_' || doc_id, 'symbol', 2, NULL, 'fn read_' || doc_id || '(p: i32) -> i32 { p }' FROM code WHERE lang = 'fr'
+  UNION ALL SELECT file, 0, 'Read' || doc_id, 'symbol', 2, NULL, 'func Read' || doc_id || '() int {' FROM code WHERE lang NOT IN ('en', 'de', 'fr'))"""
