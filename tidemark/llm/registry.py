@@ -107,6 +107,31 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), kept=False)
 
 
+#: Windows are told apart by 64-bit hashes of their bytes.
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, n - 199)) AS i, b FROM d WHERE n >= 200
+), k AS (
+  SELECT doc_id, i, hash(b[i + 1:i + 200]) AS m FROM w
+), r AS (
+  SELECT doc_id, i FROM k JOIN (SELECT m FROM k GROUP BY m HAVING count(*) > 1) USING (m)
+), n AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM r
+), g AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n
+), s AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 200 AS e FROM g GROUP BY doc_id, run
+), p AS (
+  SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), t AS (
+  SELECT p.doc_id, sum(p.e - a) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN a > before THEN hex(b[before + 1:a]) ELSE '' END, '' ORDER BY a) || CASE WHEN max(p.e) < any_value(n) THEN hex(any_value(b)[max(p.e) + 1:any_value(n)]) ELSE '' END AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -116,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_near_dedup": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_near_dedup": OP3_SQL, "op9_suffix_dedup": OP9_SQL}
