@@ -64,3 +64,87 @@ def test_a_conflict_costs_its_windows_only(spark):
     one = item.replace("gave 5", "gave 9").replace("20", "21").replace("30", "31")
     got = run(spark, [(1, two, "", 0), (2, one, "", 0)], [(5, item, 0)])
     assert {k[0] for k in got} == {1, 2} and not any(r["verbatim"] for r in got.values())
+
+
+def naive(docs, items, size=8, least=5, run=13, cover=0.6):
+    """{(id, item): (n_matched, coverage, verbatim)} by comparing every window of every text with every window of every item."""
+    import re
+
+    import numpy as np
+
+    def words(text):
+        raw = (text or "").encode()
+        return [x.tolist() for x in D.canonical(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[:3]]
+
+    def plain(text):
+        text = text or ""
+        text = text if text.isascii() else re.sub(r"[^\w\x00-\x7F]+", " ", text.casefold())
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+    out = {}
+    for i, t in docs:
+        for j, q in items:
+            if q is None:
+                continue
+            results = []
+            ct, ht, _ = words(t)
+            cq, hq, yq = words(q)
+            on = {}
+            for a in range(len(cq) - size + 1):
+                if sum(not y for y in yq[a : a + size]) >= least:
+                    for p in range(len(ct) - size + 1):
+                        if ct[p : p + size] == cq[a : a + size]:
+                            on.setdefault(p - a, {})[a] = [(hq[a + x], ht[p + x]) for x in range(size) if yq[a + x]]
+            results.append((on, size, len(cq)))
+            pt, pq = plain(t), plain(q)
+            w = min(size, len(pq))
+            on = {}
+            for a in range(len(pq) - w + 1 if w else 0):
+                for p in range(len(pt) - w + 1):
+                    if pt[p : p + w] == pq[a : a + w]:
+                        on.setdefault(p - a, {})[a] = []
+            results.append((on, w, len(pq)))
+            best = []
+            for on, w, n in results:
+                covered, most, same = set(), 0, True
+                for windows in on.values():
+                    pairs = {x for s in windows.values() for x in s}
+                    torn = {x for x, _ in pairs if len({y for z, y in pairs if z == x}) > 1}
+                    good = {a: s for a, s in windows.items() if all(x == y for x, y in s) or not any(x in torn for x, _ in s)}
+                    mine = {a + x for a in good for x in range(w)}
+                    covered |= mine
+                    most = max(most, len(mine))
+                    same &= all(x == y for s in good.values() for x, y in s)
+                share = round(len(covered) / n, 6) if n else 0
+                if covered and (most >= run or share >= cover):
+                    best.append((share, len(covered), same))
+            if best:
+                out[i, j] = max([*best, out.get((i, j), (0,))])
+    return out
+
+
+def test_matches_are_brute_force(spark):
+    """Random texts of names, numbers, units and few words, whole items, parts of them, changed ones and repeated rows."""
+    import random
+
+    r = random.Random(11)
+    vocab = "the a of Rome Paris Anna km kg 5 12 3,000 and sees red old town goes to with over under Lake".split()
+    items = [(k, " ".join(r.choice(vocab) for _ in range(r.choice([3, 7, 9, 14, 25, 40])))) for k in range(12)] + [(20, ITEM), (21, None), (22, "?"), (23, "Why is the sky blue at noon?"), (24, "What is 12 + 35 * 7 - 8 / 4 + 9 - 3 + 100 - 7 + 55"), (25, BROKEN)]
+    docs = []
+    for n in range(120):
+        k, text = r.choice(items[:13] + items[15:])
+        w = (text or "").split()
+        lo = r.randrange(max(1, len(w) // 2))
+        w = w[lo : lo + r.choice([5, 12, 20, 60])]
+        for _ in range(r.randrange(4)):
+            if w:
+                w[r.randrange(len(w))] = r.choice(vocab)
+        docs.append((n % 100, f"{' '.join(r.choice(vocab) for _ in range(r.randrange(6)))} {' '.join(w)} {r.choice(['', 'end', w[0] if w else ''])}"))
+    docs += [(200, ITEM), (200, SWAPPED), (None, ITEM), (None, FILL), (201, BROKEN_SWAP), (202, None), (203, "")]
+    got = {k: (x["coverage"], x["n_matched"], x["verbatim"]) for k, x in run(spark, [(*x, "i", 0) for x in docs], [(*x, 0) for x in items]).items()}
+    assert got == naive(docs, items) and len(got) > 20
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    got = run(spark, [(1, ITEM, "", 0), (1, SWAPPED, "", 0)], [(5, ITEM, 0)])
+    assert got[1, 5]["verbatim"] and got[1, 5]["coverage"] == 1

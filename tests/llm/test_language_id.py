@@ -82,3 +82,54 @@ def test_chains_cover_all_words_once(size):
     words = np.concatenate([np.arange(f, f + k) for f, k in zip(first, n)])
     assert words.tolist() == list(range(len(doc))) and n.max() <= size
     assert all((doc[f : f + k] == t).all() for f, k, t in zip(first, n, text))
+
+
+def naive(text, m):
+    """(language, score) of a text, word by word and feature by feature."""
+    import re
+
+    from tidemark.llm import textkit as tk
+
+    k = len(m.langs)
+    words = [x for x in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+
+    def bucket(b, kind):
+        b = bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+        return int(L._bucket(tk.span_hash(tk.eights(np.frombuffer(b, np.uint8)), np.array([0]), np.array([len(b)])), kind)[0])
+
+    def emission(w):
+        f = [bucket(w, "lexicon")]
+        for n in (1, 2, 3, 4):
+            if len(w) >= n:
+                f += [bucket(w[:n], "prefix"), bucket(w[-n:], "suffix")]
+        for n in (1, 2, 3):
+            f += [bucket(w[i : i + n], "gram") for i in range(len(w) - n + 1)]
+        return m.weights[f].astype(float).sum(0)
+
+    mean = np.zeros(k)
+    for lo in range(0, len(words), L.CHAIN):
+        e = np.array([emission(w) for w in words[lo : lo + L.CHAIN]])
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[0] = e[0]
+        for i in range(1, len(e)):
+            a[i] = e[i] + np.logaddexp.reduce(a[i - 1][:, None] + m.transitions, 0)
+        for i in range(len(e) - 2, -1, -1):
+            b[i] = np.logaddexp.reduce(m.transitions + (e[i + 1] + b[i + 1])[None], 1)
+        p = a + b
+        mean += np.exp(p - np.logaddexp.reduce(p, 1)[:, None]).sum(0)
+    mean /= len(words)
+    return m.langs[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_are_the_naive_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = L.train([" ".join(rng.choice(w, 20)) for _ in range(20) for w in (EN, ES)], ["en", "es"] * 20)
+    texts = [" ".join(rng.choice(EN + ES, int(n))) for n in rng.integers(1, 40, 25)] + [" ".join(rng.choice(EN, 450)), "Ünï 漢字 The LA", "", None, "12 — 3", "a", "x" * 300]
+    want = [naive(t, m) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words in (L.WORDS, 192):  # chains of a slice are worked on in blocks
+        monkeypatch.setattr(L, "WORDS", words)
+        got = [(r["lang_pred"], r["score"]) for r in L.predict(df, m).orderBy("doc_id").collect()]
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)

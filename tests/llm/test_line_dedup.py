@@ -69,3 +69,32 @@ def test_query(spark, rows, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, registry.op1_line_dedup(spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted([(i, n, d, hashlib.sha256(k.encode()).hexdigest()) for i, n, d, k in brute(rows, 10)[0]], key=repr)
+
+
+def test_parts_of_a_long_text():
+    """Lines taken in parts have the keys and places that they have whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["ab\n\n" + "\n".join(f"Line {i} " * (i % 5) for i in range(60)) + "\n", None, "x" * 300 + "\ny", "\n"])
+    join = lambda parts: [np.concatenate(x).tolist() for x in zip(*(p[2:] for p in parts))]
+    whole = join(L._keys(texts, 1))
+    assert len(whole[0]) > 40
+    for piece in (1, 7, 50, 299, 300):
+        assert join(L._keys(texts, 1, piece)) == whole
+
+
+def test_extra_columns_with_the_names_of_results(spark):
+    df = spark.createDataFrame([(1, "a\nb", "mine", 7)], "doc_id long, text string, kept string, n_lines long")
+    got = L.dedup(df, min_docs=5, extra=("kept", "n_lines", "doc_id"))
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept"] and tuple(got.first()) == (1, 2, 0, "a\nb")
+
+
+def test_many_rows_of_one_id_before_the_bound(spark, monkeypatch):
+    """Runs with more rows than are held before they have enough documents are decided from summaries."""
+    monkeypatch.setattr(L, "HELD", 5)
+    rows = [(None, f"hot\nown {i}") for i in range(60)] + [(i, "hot") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n in (4, 5):
+        got = sorted(map(tuple, L.dedup(df, min_docs=n).collect()), key=repr)
+        assert got == sorted(brute(rows, n)[0], key=repr)

@@ -65,3 +65,29 @@ def test_held_out_quality(spark):
     got = Q.judge(Q.statistics(docs), rules).join(labels.where("doc_id % 2 = 1"), "doc_id").where("n_words >= 20").select("kept", "quality").collect()
     good, bad = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def ratios(text):
+    t = text or ""
+    words, lines, raw = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n"), t.encode()
+    n_words, chars, symbols, dup, rep = brute(t)
+    w, c, n = max(1, n_words), max(1, chars), max(1, len(lines))
+    count = lambda some: sum(raw.count(x) for x in some.encode())
+    return {
+        "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": rep, "mean_word": chars / w, "symbols_per_word": symbols / w, "dup_line_share": dup / n, "repeat_share": rep / w,
+        "upper_share": sum(65 <= x <= 90 for x in raw) / c, "digit_share": sum(48 <= x <= 57 for x in raw) / c, "mark_share": count(".,!?;:") / w, "distinct_share": len(set(words)) / w, "long_share": sum(len(x) > 12 for x in words) / w,
+        "words_per_line": n_words / n, "bang_share": raw.count(b"!") / w,
+    }
+
+
+def test_verdicts_are_brute_force(docs, rows):
+    """Every statistic and every verdict, against the rules read one after the other."""
+    rules = [Q.Rule((("mark_share", ">", 0.3), ("mean_word", "<=", 9.5)), 1.0, 1), Q.Rule((("distinct_share", "<=", 0.12),), 1.0, 1), Q.Rule((("dup_line_share", ">", 0.0), ("words_per_line", ">", 8.0)), 1.0, 1), Q.Rule((("long_share", ">", 0.5), ("upper_share", "<=", 0.5)), 1.0, 1)]
+    want = []
+    for i, t in rows:
+        x = ratios(t)
+        hit = next((k for k, r in enumerate(rules) if all(x[c] <= v if op == "<=" else x[c] > v for c, op, v in r.tests)), None)
+        failed = x["n_words"] < 20 or 100 * x["n_repeat_words"] > 30 * x["n_words"]
+        want.append((i, *(round(float(x[c]), 9) for c in (*Q.COUNTS, *Q.RATIOS)), failed, hit, not failed and hit is None))
+    got = [(r["doc_id"], *(round(float(r[c]), 9) for c in (*Q.COUNTS, *Q.RATIOS)), r["base_failed"], r["rule"], r["kept"]) for r in Q.judge(Q.statistics(docs), rules).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {w[-2] for w in want} >= {None, 1}

@@ -83,3 +83,23 @@ def test_every_window_has_one_anchor():
     d, fp, sh, first, count, off = S.anchors(buf, offs, 200, 64)
     assert Counter(np.repeat(d, count).tolist()) == {2: 1701, 3: 2801}
     assert all((off - (count - 1) >= 0) & (off <= 136))
+
+
+def test_parts_of_a_long_text(spark, monkeypatch):
+    """Windows taken in parts give what they give whole."""
+    r = random.Random(6)
+    unit = "".join(r.choice("abcdefg ") for _ in range(500))
+    rows = [(1, unit + "x" * 700 + unit[100:450] + "y" + "".join(r.choice("hijk") for _ in range(900))), (2, unit[50:330]), (3, "z" * 1000), (4, None)]
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t in rows])
+    whole = [np.concatenate(x) for x in zip(*(p[1:] for p in S._parts(texts, 200)))]
+    for piece in (64, 333):
+        parts = [np.concatenate(x) for x in zip(*(p[1:] for p in S._parts(texts, 200, piece)))]
+        spots = lambda x: sorted((int(d), int(f) + i, int(g)) for d, g, f, n in zip(x[0], x[1], x[3], x[4]) for i in range(n))
+        assert spots(parts) == spots(whole) and len(parts[0]) > len(whole[0])
+    old = S._parts
+    monkeypatch.setattr(S, "PIECE", 333)
+    monkeypatch.setattr(S, "_parts", lambda texts, length: old(texts, length, 333))
+    got = sorted((tuple(x)[:5] for x in S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows, 200)

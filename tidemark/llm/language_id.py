@@ -10,7 +10,10 @@ and that mean is its score.
 A chain has ``CHAIN`` words at most: a longer text is several chains, all of which count.
 The fit takes a bounded sample of labelled chains (``per_lang`` for each language, those with
 the lowest hash; copies of a text count once); prediction reads the text alone. Null text, or text without a letter: ``und``,
-score 0. No labelled text at all: every row is ``und``. Repeated ids are judged row by row.
+score 0. No labelled text at all: every row is ``und``. Repeated ids are judged row by row, and of languages
+with the same mean the first by name wins. An empty table gives no rows. Columns besides id, text and ``extra`` aren't
+read; ``extra`` ones go along under their names, unless a result has it. A text of any length is worked on in
+blocks of ``WORDS`` words; only its bytes and word borders are held whole, at some 12 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ BITS = 17
 #: Features of a slice take some 100 bytes for each byte of its distinct words.
 SLICE_BYTES = 1 << 20
 CHAIN = 192
+#: Words whose chains are worked on at once, so a long text takes no more memory than a slice.
+WORDS = 1 << 17
 PER_LANG = 240
 KINDS = {"lexicon": 0x51ED270B7A14AD3F, "prefix": 0x2545F4914F6CDD1D, "suffix": 0x9FB21C651E98DF25, "gram": 0xD1342543DE82EF95}
 
@@ -224,10 +229,15 @@ def predictor(held, names_out: list[str]):
                 s, e, d = tk.spans(buf, offs, tk.LETTER)
                 mean = np.zeros((n, k))
                 if len(s) and k:
-                    emit = emissions(buf, s, e, model.weights)
                     first, size, _ = chains(d, n)
-                    post, _, _ = forward_backward(emit, first, size, model.transitions)
-                    mean = np.stack([np.bincount(d, post[:, j], minlength=n) for j in range(k)], 1) / np.maximum(np.bincount(d, minlength=n), 1)[:, None]
+                    x = 0
+                    while x < len(first):  # blocks of whole chains
+                        y = max(x + 1, int(np.searchsorted(first, first[x] + WORDS)))
+                        w = slice(int(first[x]), int(first[y - 1] + size[y - 1]))
+                        post, _, _ = forward_backward(emissions(buf, s[w], e[w], model.weights), first[x:y] - first[x], size[x:y], model.transitions)
+                        mean += np.stack([np.bincount(d[w], post[:, j], minlength=n) for j in range(k)], 1)
+                        x = y
+                    mean /= np.maximum(np.bincount(d, minlength=n), 1)[:, None]
                 best = mean.argmax(1) if k else np.full(n, k)
                 lettered = tk.sums(tk.LETTER[buf] & (buf < 128), offs) > 0
                 for i in np.flatnonzero(~lettered & (np.diff(offs) > 0)):
@@ -241,6 +251,7 @@ def predictor(held, names_out: list[str]):
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, lang_pred, score; from the text alone. ``extra`` columns go along as they are."""
+    extra = tuple(c for c in extra if c not in (id_col, "lang_pred", "score"))
     cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra))]
     names = ["id", "lang_pred", "score", *(f"x{i}" for i in range(len(extra)))]
     kinds = [docs.schema[id_col].dataType.simpleString(), "string", "double", *(docs.schema[c].dataType.simpleString() for c in extra)]

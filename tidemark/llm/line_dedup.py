@@ -15,7 +15,8 @@ Null or empty text: one empty line. Rows of one id are one document; a null id c
 too; each row gets its own bitmap by the hash of its text. First lines are told by document, position
 and hash of the text; rows that repeat in all of these stay or go together. An empty table gives no rows. Columns
 besides id, text and ``extra`` aren't read; an ``extra`` column with the name of a result is left out.
-A text is held whole in one task, at some 20 bytes for each of its bytes.
+A long text's lines are taken in parts of ``PIECE`` bytes; its
+bytes are held whole, and those of one line at some 20 bytes for each.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from . import textkit as tk
 
 DROP, PENDING, SUMMARY, FIRST = 0, 1, 2, 3
 HELD = 200_000
+PIECE = 8 << 20
 
 
 def line_keys(buf: np.ndarray, offs: np.ndarray, min_chars: int = 1) -> tuple[np.ndarray, ...]:
@@ -52,11 +54,27 @@ def line_keys(buf: np.ndarray, offs: np.ndarray, min_chars: int = 1) -> tuple[np
     return ld[some], pos[some], tk.span_hash(w, ks, ke), tk.span_hash(w, ks, ke, 1)
 
 
+def _keys(texts: pa.Array, min_chars: int, piece: int = PIECE) -> Iterator[tuple]:
+    """(first row, end row, and ``line_keys``) of slices; a text above ``piece`` bytes is taken in parts that end before a line's end."""
+    for lo, hi, buf, offs in tk.slices(texts):
+        if len(buf) <= piece:
+            yield lo, hi, *line_keys(buf, offs, min_chars)
+            continue
+        for i in range(hi - lo):
+            at, seen, end = int(offs[i]), 0, int(offs[i + 1])
+            while at <= end:
+                cut = np.flatnonzero(buf[at + piece : end] == 10)[:1] if at + piece < end else ()
+                stop = at + piece + int(cut[0]) if len(cut) else end
+                d, pos, h1, h2 = line_keys(buf[at:stop], np.array([0, stop - at]), min_chars)
+                yield lo, hi, d + i, pos + seen, h1, h2
+                seen += int((buf[at:stop] == 10).sum()) + 1
+                at = stop + 1
+
+
 def _explode(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tk.slices(b.column(2)):
-                d, pos, h1, h2 = line_keys(buf, offs, min_chars)
+            for lo, _, d, pos, h1, h2 in _keys(b.column(2), min_chars):
                 take = pa.array(d + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "row", "pos", "h1", "h2"])
 

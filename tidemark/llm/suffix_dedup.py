@@ -23,7 +23,8 @@ that they span: its snippet) need comparing with the same anchor's other snippet
 All bytes of all rows take part; null or empty text has none. Rows that repeat entirely, with
 the same id or not, count as separate places, so both lose all their windows. A row is known by
 96 bits of hashes of its id and text. An empty table gives no rows. Columns besides id and text aren't read, so their
-names may be any. A text is held whole in one task, at some 40 bytes for each of its bytes.
+names may be any. A long text's windows are taken in parts of ``PIECE`` bytes; its bytes are held whole, at some 10 bytes for each of
+its bytes where it is cut.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkit as tk
 
-LENGTH, GRAM, BLOCK, INDEX_BYTES, SEEN_BITS = 200, 64, 4096, 1 << 20, 22
+LENGTH, GRAM, BLOCK, INDEX_BYTES, SEEN_BITS, PIECE = 200, 64, 4096, 1 << 20, 22, 8 << 20
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -82,12 +83,24 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return doc, h[a], tk.mix(text + size.astype(np.uint64)), lo - offs[doc], count, off
 
 
+def _parts(texts: pa.Array, length: int, piece: int = PIECE) -> Iterator[tuple]:
+    """(first row, and ``anchors``) of slices; the windows of a text above ``piece`` bytes are taken in parts. An anchor whose windows fall in two parts has two snippets, which have no window in common."""
+    for lo, hi, buf, offs in tk.slices(texts):
+        if len(buf) <= piece:
+            yield lo, *anchors(buf, offs, length)
+            continue
+        for i in range(hi - lo):
+            for at in range(int(offs[i]), int(offs[i + 1]), piece):
+                part = buf[at : min(at + piece + length - 1, int(offs[i + 1]))]
+                d, fp, sh, first, count, off = anchors(part, np.array([0, len(part)]), length)
+                yield lo, d + i, fp, sh, first + (at - int(offs[i])), count, off
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, row2 = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for lo, _, buf, offs in tk.slices(b.column(2)):
-                d, fp, sh, first, count, off = anchors(buf, offs, length)
+            for lo, d, fp, sh, first, count, off in _parts(b.column(2), length):
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(row[lo + d]), pa.array(row2[lo + d]), *(pa.array(x, pa.int32()) for x in (first, count, off))], ["fp", "sh", "row", "row2", "first", "count", "off"])
 
     return run
@@ -361,10 +374,10 @@ def _cut(length: int, kept: bool):
                     left = text
                 else:
                     s = spans.values
-                    f = np.zeros(len(text) + 1, np.int64)
+                    f = np.zeros(len(text) + 1, np.int32)
                     np.add.at(f, np.asarray(s.field("first")), 1)
                     np.add.at(f, np.asarray(s.field("end")), -1)
-                    cover = np.cumsum(f)[:-1] > 0
+                    cover = np.cumsum(f, out=f)[:-1] > 0
                     gone.append(int(cover.sum()))
                     runs.append(int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum()))
                     left = np.frombuffer(text, np.uint8)[~cover].tobytes()
