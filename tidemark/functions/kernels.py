@@ -95,8 +95,9 @@ class Signs:
         self.most = most
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def __call__(self, h: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        uniq, one, back = np.unique(h, return_index=True, return_inverse=True)
+    def __call__(self, asked: np.ndarray, h: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the tokens with hashes ``asked``, which are among those (``h``) at [s, e)."""
+        uniq, one = np.unique(h, return_index=True)
         known = np.isin(uniq, self.keys, assume_unique=True)
         new = np.flatnonzero(~known)
         if len(new):
@@ -108,7 +109,7 @@ class Signs:
             keys = np.concatenate([self.keys, uniq[new]])
             order = np.argsort(keys)
             self.keys, self.codes = keys[order], np.concatenate([self.codes, codes])[order]
-        code = self.codes[np.searchsorted(self.keys, uniq)][back]
+        code = self.codes[np.searchsorted(self.keys, asked)]
         return code >> 1, 1.0 - 2.0 * (code & 1)
 
 
@@ -146,3 +147,22 @@ class TopK:
         """(query, id, score)."""
         self._cut()
         return self.q, self.c, self.s
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of runs of ``values``, ``sizes`` numbers each: it crosses between JVM and Python as bytes."""
+    o = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes * values.itemsize, out=o[1:])
+    big = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(values))])
+    return big.cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers end to end, how many in each row) of such a column without nulls."""
+    wide = pa.types.is_large_binary(column.type)
+    _, ob, db = column.buffers()
+    o = np.frombuffer(ob, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if db is None or o[0] == o[-1]:
+        return np.zeros(0, kind), np.zeros(len(column), np.int64)
+    v = np.frombuffer(db, np.uint8)[o[0] : o[-1]].view(kind)
+    return v, np.diff(o) // v.itemsize

@@ -39,7 +39,8 @@ def clamp(score: Column) -> Column:
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows with a vector, unit vectors as doubles)."""
     ok = np.flatnonzero(~np.asarray(column.is_null()))
-    flat = column.drop_null().flatten()
+    column = column.drop_null()
+    flat = kernels.unpacked(column, "f4")[0] if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else column.flatten()
     m = np.asarray(flat, np.float64).reshape(len(ok), -1) if len(ok) else np.zeros((0, 0))
     norm = np.sqrt((m * m).sum(1, keepdims=True)) if len(ok) else m
     return ok, m / np.where(norm > 0, norm, 1)
@@ -59,7 +60,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id
         if not len(q):
             continue
         ids = q["query_id"].to_numpy(np.int64)
-        m = np.stack(q["vector"].map(lambda v: np.asarray(v, np.float64)).to_list())
+        m = np.stack(q["vector"].map(lambda v: np.asarray(np.frombuffer(v, "f4") if isinstance(v, (bytes, bytearray)) else v, np.float64)).to_list())
         norm = np.sqrt((m * m).sum(1, keepdims=True))
         held = spark.sparkContext.broadcast((ids, m / np.where(norm > 0, norm, 1)))
 
@@ -93,7 +94,7 @@ def hashed_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, vector): the hashed vectors as arrays, built from each row by itself, without a shuffle; a text without tokens points along dimension 0."""
+    """(id, vector): the hashed vectors as packed floats, built from each row by itself, without a shuffle; a text without tokens points along dimension 0."""
 
     from . import lexical
 

@@ -33,7 +33,7 @@ DIM = 256
 
 @dataclass
 class Index:
-    """``rows``: chunk_id, dl, terms, tfs, vector (if made) and carried columns."""
+    """``rows``: chunk_id, dl, terms (64-bit hashes), tfs (32-bit counts) and vector (floats, if made) as bytes, and carried columns."""
 
     rows: DataFrame
     n: int
@@ -79,24 +79,25 @@ def forward(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
             for lo, hi, buf, offs in kernels.slices(b.column(1)):
                 n = hi - lo
                 h, s, e, d = kernels.tokens(buf, offs)
-                order = np.lexsort((h, d))
-                hs, ds = h[order], d[order]
+                edges = np.searchsorted(d, np.arange(n + 1))
+                hs = h.copy()
+                for i in np.flatnonzero(np.diff(edges) > 1):
+                    hs[edges[i] : edges[i + 1]].sort()
                 new = np.ones(len(hs), bool)
-                new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+                new[1:] = (hs[1:] != hs[:-1]) | (d[1:] != d[:-1])
                 at = np.flatnonzero(new)
                 tf = np.diff(np.append(at, len(hs)))
-                ends = np.searchsorted(ds[at], np.arange(n + 1)).astype(np.int32)
-                cols = [b.column(0)[lo:hi], pa.array(np.bincount(d, minlength=n), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(hs[at].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))]
+                ends = np.searchsorted(at, edges)
+                cols = [b.column(0)[lo:hi], pa.array(np.bincount(d, minlength=n), pa.int64()), kernels.packed(hs[at].view(np.int64), np.diff(ends)), kernels.packed(tf.astype(np.int32), np.diff(ends))]
                 if vectors:
-                    one = order[at]
-                    dim, sign = signs(hs[at], buf, s[one], e[one])
-                    v = np.bincount(ds[at] * DIM + dim, sign * tf, minlength=n * DIM).reshape(n, DIM).astype(np.float32)
+                    dim, sign = signs(hs[at], h, buf, s, e)
+                    v = np.bincount(d[at] * DIM + dim, sign * tf, minlength=n * DIM).reshape(n, DIM).astype(np.float32)
                     v[~v.any(1), 0] = 1.0
-                    cols.append(pa.ListArray.from_arrays(np.arange(0, v.size + 1, DIM, dtype=np.int32), pa.array(v.ravel())))
+                    cols.append(kernels.packed(v.ravel(), np.full(n, DIM)))
                 yield pa.RecordBatch.from_arrays([*cols, *(c[lo:hi] for c in b.columns[2:])], ["chunk_id", "dl", "terms", "tfs", *["vector"] * vectors, *(f"x{i}" for i in range(len(carry)))])
 
     kind = lambda c: chunks.schema[c].dataType.simpleString()
-    shape = f"chunk_id {kind(id_col)}, dl long, terms array<long>, tfs array<int>" + ", vector array<float>" * vectors + "".join(f", x{i} {kind(c)}" for i, c in enumerate(carry))
+    shape = f"chunk_id {kind(id_col)}, dl long, terms binary, tfs binary" + ", vector binary" * vectors + "".join(f", x{i} {kind(c)}" for i, c in enumerate(carry))
     got = chunks.select(F.col(id_col).alias("chunk_id"), F.lower(T.text_or_empty(F.col(text_col))).alias("low"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(carry))).mapInArrow(run, shape)
     return got.select("chunk_id", "dl", "terms", "tfs", *["vector"] * vectors, *(F.col(f"x{i}").alias(c) for i, c in enumerate(carry)))
 
@@ -144,11 +145,11 @@ def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text
 
 def _postings(vocab: np.ndarray, terms: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chunk, place in ``vocab``, count) of the postings of query terms."""
-    h = np.asarray(terms.flatten())
-    doc = np.repeat(np.arange(len(terms)), np.asarray(terms.value_lengths()))
+    h, many = kernels.unpacked(terms, "i8")
+    doc = np.repeat(np.arange(len(terms)), many)
     at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
     ok = np.flatnonzero(vocab[at] == h) if len(h) else np.zeros(0, np.int64)
-    return doc[ok], at[ok], np.asarray(tfs.flatten())[ok]
+    return doc[ok], at[ok], kernels.unpacked(tfs, "i4")[0][ok]
 
 
 def _frequencies(held):
@@ -156,7 +157,9 @@ def _frequencies(held):
         vocab = held.value
         df = np.zeros(len(vocab), np.int64)
         for b in batches:
-            df += np.bincount(_postings(vocab, b.column(0), b.column(1))[1], minlength=len(vocab))
+            h = kernels.unpacked(b.column(0), "i8")[0]
+            at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+            df += np.bincount(at[vocab[at] == h], minlength=len(vocab))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
@@ -204,7 +207,7 @@ def search(queries: DataFrame, chunks: DataFrame | Index, k: int = 10, id_col: s
     at = np.searchsorted(vocab, rows["token"].map(words).to_numpy(np.int64))
     order = np.argsort(at, kind="stable")
     rows, at = rows.iloc[order], at[order]
-    counted = chunks.rows.select("terms", "tfs").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocab)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each query term at most
+    counted = chunks.rows.select("terms").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocab)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each query term at most
     df = np.zeros(len(vocab))
     for r in counted:
         df[r["term"]] = r["df"]

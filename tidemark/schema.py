@@ -10,6 +10,6 @@ MEMORY = (
     " supersedes long, created_at timestamp, updated_at timestamp, metadata map<string,string>"
 )
 EVIDENCE = "query_id long, record_id long, similarity double, rank long, in_dense boolean, in_bm25 boolean"
-CACHE = "entry_id long, query_norm string, scope string, embedding array<float>, created_at timestamp, payload string, version long, seq long"
+CACHE = "entry_id long, query_norm string, scope string, embedding binary, created_at timestamp, payload string, version long, seq long"
 PASSAGE = "chunk_id long, doc_id string, pos long, text string, heading string, source string, version long, seq long"
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
