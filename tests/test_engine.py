@@ -195,3 +195,18 @@ def test_index_carries_filters(spark):
     got = lexical.search(asked(spark, "red"), i, 5, filters={"topic": None}).collect()
     assert [r["chunk_id"] for r in got] == [2]
     assert lexical.search(asked(spark, "!!"), i, 5).count() == 0 and schema.CACHE
+
+
+def test_bootstrap_takes_a_project_in(spark, tmp_path):
+    here = tmp_path / "project"
+    (here / "app").mkdir(parents=True)
+    (here / "README.md").write_text("# Zebra counter\n\nCounts zebras with password=supersecret123 in it.\n")
+    (here / "app/main.py").write_text("def count_zebras():\n    return 3\n")
+    (here / "pyproject.toml").write_text('[project]\nname = "z"\n[project.scripts]\nzebra = "app.main:count_zebras"\n[tool.pytest]\n')
+    m, r = engine.MemoryEngine(spark, f"file://{tmp_path}/m"), engine.RagEngine(spark, f"file://{tmp_path}/r")
+    for _ in range(2):  # again gives the same records, but for the episode
+        got = engine.bootstrap(m, r, str(here))
+        assert got["code_records"] == 2 and got["facts"] == 4 and got["chunks"] >= 1 and set(got["smoke"]) == {0, 1}
+        active = m.records.read().where("status = 'active'").collect()
+        assert sorted(x["kind"] for x in active) == ["code", "code", "episode", "fact", "fact", "fact", "fact"]
+    assert not any("supersecret123" in x["text"] for x in [*active, *r.chunks.read().collect()])

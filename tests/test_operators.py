@@ -297,6 +297,8 @@ def test_answers(spark):
     q = ranked.withColumn("query", F.lit("q"))
     assert [r["chunk_id"] for r in answer.rerank(q, lambda q, t: [1, 1, 9, 0]).orderBy("rank").collect()] == [11, 10]
     assert [r["chunk_id"] for r in answer.rerank(q, lambda q, t: 1 / 0).orderBy("rank").collect()] == [10, 11]
+    assert [(r["chunk_id"], r["score"]) for r in answer.rerank_scored(q, lambda q, t: [(1, 0.2), (0, 0.9), (7, 3.0), (1, 0.8)]).orderBy("rank").collect()] == [(10, 0.9), (11, 0.2)]
+    assert [r["chunk_id"] for r in answer.rerank_scored(q, lambda q, t: 1 / 0, top=1).collect()] == [10]
     assert answer.generate(answer.sources(ranked), lambda p: "said " + p[:3]).first()["answer"] == "said [1]"
     with pytest.raises(ValueError):
         answer.generate(ranked, None)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import config, schema
+from . import config, schema, session
 from .functions import text as T
-from .operators import answer, cache, chunking, common, dense, fusion, lexical, memory, store
+from .operators import answer, cache, chunking, code_index, common, dense, fusion, lexical, memory, store
 from .plans import recall
+from .sources import files
 
 
 class QueryCache:
@@ -173,6 +175,25 @@ class RagEngine:
         return out.select(*cols) if had is None else out.select(*cols).unionByName(had.select(*cols))
 
 
+def bootstrap(mem: MemoryEngine, rag: RagEngine, root: str) -> dict[str, object]:
+    """A project taken in: its code as records, its documents redacted and chunked, inferred facts in place of older ones, an episode, and two recalls to see that it works."""
+    spark, at = mem.spark, f"file://{Path(root).resolve()}"
+    code = code_index.records(code_index.files(files.code_files(spark, at))).select("text", "kind", "subject", "tags", "source", "authority").persist()
+    old = mem.records.read().where((F.col("kind") == "code") | F.array_contains("tags", "inferred")).select("record_id")
+    mem.forget(old)
+    mem.remember(code)
+    found = session.facts(spark, root)
+    if found:
+        mem.remember(session.fact_rows(spark, found).withColumn("authority", F.lit(0.5)).withColumn("tags", F.array(F.lit("inferred"))))
+    mem.remember(session.episode(spark, found))
+    names = files.doc_files(spark.createDataFrame([(str(p.relative_to(Path(root).resolve())),) for p in Path(root).resolve().rglob("*") if p.is_file()] or [("",)], "file string")).where(~T.sensitive_path(F.col("file")))
+    docs = [(r["file"], (Path(root) / r["file"]).read_text("utf-8-sig", errors="replace")) for r in names.collect()]
+    took = rag.ingest(spark.createDataFrame(docs, "doc_id string, text string").select("doc_id", T.redact(F.col("text")).alias("text"), F.col("doc_id").alias("source"))) if docs else {"documents": 0, "chunks": 0}
+    asked = spark.createDataFrame([(0, "what is this project"), (1, "which languages and entry points does it have")], "query_id long, query string")
+    smoke = {r["query_id"]: r["mode"] for r in mem.recall(asked, use_cache=False).select("query_id", "mode").collect()}
+    return {"code_records": code.count(), "facts": len(found), "smoke": smoke} | took
+
+
 def events(answers: DataFrame) -> DataFrame:
     """(query_id, n, type, text): the stream of a finished answer, one delta with all of its text, then the answer itself."""
     one = lambda n, kind: F.struct(F.lit(n).cast("long").alias("n"), F.lit(kind).alias("type"), F.col("answer").alias("text"))

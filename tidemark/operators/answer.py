@@ -48,6 +48,23 @@ def rerank(ranked: DataFrame, order: Callable[[str, list[str]], list[int]], firs
     return ranked.where(F.col("rank") <= first).select("query_id", "query", "chunk_id", "text", "rank").groupBy("query_id").applyInPandas(run, shape)
 
 
+def rerank_scored(ranked: DataFrame, score: Callable[[str, list[str]], list[tuple[int, float]]], first: int = 24, top: int = 6) -> DataFrame:
+    """Reranking by a scoring service: ``score`` gives (row number, score) pairs in any order; numbers out of range and repeats are dropped, and failure keeps the order."""
+    shape = "query_id long, chunk_id long, score double, rank long, origin string"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rank")
+        try:
+            said = {i: float(s) for i, s in reversed(list(score(g["query"].iloc[0], g["text"].tolist()))) if 0 <= i < len(g)}
+            want = sorted(said.items(), key=lambda x: (-x[1], x[0]))[:top]
+        except Exception:
+            want = [(i, 1 / (i + 1)) for i in range(min(top, len(g)))]
+        ids = g["chunk_id"].to_numpy()
+        return pd.DataFrame({"query_id": g["query_id"].iloc[0], "chunk_id": [ids[i] for i, _ in want], "score": [s for _, s in want], "rank": range(1, len(want) + 1), "origin": "rerank"})
+
+    return ranked.where(F.col("rank") <= first).select("query_id", "query", "chunk_id", "text", "rank").groupBy("query_id").applyInPandas(run, shape)
+
+
 def generate(prompts: DataFrame, llm: Callable[[str], str] | None) -> DataFrame:
     """Adds answer: the generator's, or the fixed text without sources. No generator is an error."""
     if llm is None:

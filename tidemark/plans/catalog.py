@@ -403,7 +403,19 @@ def chunk_dispatch(t: Tables) -> DataFrame:
     return chunking.chunk(t.documents, how)
 
 
-@query()
+_PLAIN = "p"
+for _name, _is in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_is}')"
+
+
+_HIDDEN = r"(?s)<!--.*?-->|<(head|script|style|noscript)\b[^>]*>.*?</(head|script|style|noscript)>"
+_TRIMMED = r"^\s+|\s+$"
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, regexp_split_to_array(regexp_replace(coalesce(html, ''), '{_HIDDEN}', '<x>', 'g'), '<[^>]*>') AS parts FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(parts, lambda p: regexp_replace(regexp_replace({_PLAIN}, '&amp;?', '&', 'g'), '{_TRIMMED}', '', 'g')), lambda p: p <> ''), chr(10)) AS text FROM t"""
+)
 def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", files.html_text(F.col("html")).alias("text"))
 

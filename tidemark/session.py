@@ -112,24 +112,36 @@ def index_file(stored: DataFrame, sources: DataFrame) -> tuple[DataFrame, bool]:
     return stored.where(F.col("file") != name).unionByName(after), stats.first()["files_indexed"] > 0
 
 
-def seed(spark: SparkSession, root: str, records: DataFrame) -> DataFrame:
-    """Memory after a look at a project: up to four inferred facts (what it is, languages, entry points, tests) and an episode."""
+def facts(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
+    """(text, subject, source) of up to four facts inferred from a project: what it is, languages, entry points, tests."""
     here = Path(root)
-    code = code_index.files(files.code_files(spark, f"file://{here.resolve()}"))
-    facts: list[tuple[str, str, str]] = []
+    out: list[tuple[str, str, str]] = []
     readme = next((p for p in sorted(here.glob("README*")) if p.is_file()), None)
     if readme is not None:
         brief = spark.createDataFrame([(readme.read_text("utf-8-sig", errors="replace"),)], "t string").select(T.redact(T.readme_brief(F.col("t")))).first()[0]
         if brief:
-            facts.append((f"The project: {brief}", "project-brief", readme.name))
+            out.append((f"The project: {brief}", "project-brief", readme.name))
+    code = code_index.files(files.code_files(spark, f"file://{here.resolve()}"))
     mix = [f"{r['language']} ({r['n_files']})" for r in code_index.language_mix(code).collect()]
     if mix:
-        facts.append(("Languages: " + ", ".join(mix), "project-languages", ""))
+        out.append(("Languages: " + ", ".join(mix), "project-languages", ""))
     if points := entry_points(here):
-        facts.append(("Entry points: " + "; ".join(points), "project-entry-points", ""))
+        out.append(("Entry points: " + "; ".join(points), "project-entry-points", ""))
     if framework := test_framework(here):
-        facts.append((f"Tests run with {framework}", "project-tests", ""))
-    rows = spark.createDataFrame([(t, "fact", s, f) for t, s, f in facts], "text string, kind string, subject string, source string")
-    after = memory.replace_inferred(records, rows) if facts else records
-    done = memory.remember(spark.createDataFrame([(f"Looked at the project: {len(facts)} facts inferred", "episode", "project-seed")], "text string, kind string, subject string"))
-    return after.unionByName(done, allowMissingColumns=True)
+        out.append((f"Tests run with {framework}", "project-tests", ""))
+    return out
+
+
+def fact_rows(spark: SparkSession, found: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame([(t, "fact", s, f) for t, s, f in found], "text string, kind string, subject string, source string")
+
+
+def episode(spark: SparkSession, found: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame([(f"Looked at the project: {len(found)} facts inferred", "episode", "project-seed")], "text string, kind string, subject string")
+
+
+def seed(spark: SparkSession, root: str, records: DataFrame) -> DataFrame:
+    """Memory after a look at a project: its inferred facts, in place of those inferred before, and an episode."""
+    found = facts(spark, root)
+    after = memory.replace_inferred(records, fact_rows(spark, found)) if found else records
+    return after.unionByName(memory.remember(episode(spark, found)), allowMissingColumns=True)
