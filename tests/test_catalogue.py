@@ -33,6 +33,77 @@ def test_query_matches_sql(spark, duck, name):
     assert plain(rows) == plain([tuple(r[i] for i in at) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
-def test_query_runs(spark, name):
-    assert plans.queries()[name](spark, DIR).limit(1).count() == 1
+SIZE, OVERLAP = 1600, 200
+
+
+def pieces(text, cuts=("\n\n", "\n", ". ", " ")):
+    """Parts of a text that no further cut makes smaller, or that fit."""
+    if len(text) <= SIZE or not cuts:
+        return [text]
+    out = []
+    while text:
+        head, cut, text = text.partition(cuts[0])
+        out += pieces(head + cut, cuts[1:]) if len(head + cut) > SIZE else [head + cut]
+    return out
+
+
+def cut(text):
+    chunks, at = [], ""
+    for p in pieces(text):
+        if not p.strip():
+            continue
+        if at and len(at + p) > SIZE:
+            chunks.append(at)
+            at = at[-OVERLAP:]
+        at += p
+    return [c for c in [*chunks, at] if c.strip()]
+
+
+def sections(text):
+    """(heading path, body) of a Markdown text, line by line."""
+    path, out, body = {}, [], ""
+    name = ""
+    for line in text.split("\n"):
+        hashes = len(line) - len(line.lstrip("#"))
+        if 1 <= hashes <= 6 and line[hashes : hashes + 1].isspace():
+            out.append((name, body))
+            path = {k: v for k, v in path.items() if k < hashes} | {hashes: line[hashes:].strip()}
+            name, body = " > ".join(path[k] for k in sorted(path)), ""
+        body += line + "\n"
+    return [(n, b) for n, b in [*out, (name, body)] if b.strip()]
+
+
+def blocks(text):
+    """A source text cut before each line that begins a definition."""
+    words = "def class function fn func impl interface struct enum type pub".split()
+    out = [""]
+    for line in text.split("\n"):
+        rest = line.removeprefix("export ").lstrip().removeprefix("async ").lstrip()
+        if rest.split(" ")[0].split("(")[0].rstrip(":") in words and out[-1]:
+            out.append("")
+        out[-1] += line + "\n"
+    return out
+
+
+@pytest.mark.parametrize("name", ["chunk_recursive", "chunk_markdown", "chunk_dispatch"])
+def test_chunks_are_brute_force(spark, duck, name):
+    """Every chunk with its place and heading, against a restatement."""
+    want = []
+    for doc_id, text, lang, source in duck.sql("select doc_id, text, lang, source from documents").fetchall():
+        how = {"chunk_recursive": "r", "chunk_markdown": "m"}.get(name) or {"en": "m", "de": "c"}.get(lang, "r")
+        if name == "chunk_markdown":
+            text = f"# {source}\n## {lang}\n{text}"
+        if how == "m":
+            got = [(c, h) for h, b in sections(text) for c in (cut(b) if len(b.rstrip("\n")) > SIZE else [b])]
+        elif how == "c":
+            got = [(c, "") for b in blocks(text) for c in (cut(b) if len(b) > SIZE else [b])]
+        else:
+            got = [(c, "") for c in cut(text)]
+        got = [(c.strip(), h) for c, h in got if c.strip()]
+        want += [(doc_id, i, c, h or None) for i, (c, h) in enumerate(got)]
+    got = [(r["doc_id"], r["seq"], r["text"], r["heading"]) for r in plans.queries()[name](spark, DIR).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_every_query_is_held_against_something():
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"chunk_recursive", "chunk_markdown", "chunk_dispatch"}
