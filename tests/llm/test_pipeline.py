@@ -66,3 +66,25 @@ def test_leaks_go_by_row(spark, folder):
     docs = spark.createDataFrame(rows, registry.table(spark, folder, "documents").schema)
     got = P.decontaminate_benchmark(spark, docs, folder).collect()
     assert sorted((r["text"] for r in got)) == ["a clean text with no id", "a clean text with the id of a leak"]
+
+
+def test_empty_table_and_extra_columns(spark, folder, nothing):
+    """Every stage keeps an empty table empty, with its columns; extra columns with names that operators use are dropped."""
+    docs = nothing
+    for name, stage in P.STAGES:
+        docs, _ = P.shared.written(stage(spark, docs, folder), f"empty-{name}")
+        assert docs.count() == 0 and (name == "sentencepiece" or docs.columns == list(P.COLUMNS))
+    some = registry.table(spark, folder, "documents").limit(30).selectExpr("*", "doc_id as row", "text as kept", "1 as id", "2 as n", "'x' as score")
+    assert P.identify_language(spark, some, folder).columns == list(P.COLUMNS)
+    assert P.dedup_lines(spark, some, folder).columns == list(P.COLUMNS)
+    assert P.dedup_near(spark, some, folder).columns == list(P.COLUMNS)
+    assert P.decontaminate_benchmark(spark, some, folder).columns == list(P.COLUMNS)
+
+
+def test_null_ids_and_repeated_rows(spark, folder, nothing):
+    body = "one two three four five six seven eight nine ten eleven twelve words of a text that is english and plain number "
+    rows = [(None, body + "a", "en", "s", 1), (None, body + "a", "en", "s", 1), (None, None, None, None, None), (5, body + "b and some more of it here to be told apart from all of the others", None, "s", None), (5, "la casa del rey estaba en la colina y ellos han sido con esta para que cosa", "es", None, 3)]
+    docs = spark.createDataFrame(rows, nothing.schema)
+    for _, stage in P.STAGES:
+        docs, _ = P.shared.written(stage(spark, docs, folder), "nulls")
+    assert sorted((r["doc_id"] is None, r["decodes"]) for r in docs.collect()) == [(False, True), (False, True), (True, True), (True, True)]

@@ -7,8 +7,10 @@ is precise on both, and its rows are taken away before the next. ``verdict`` mak
 rules a nested ``when``, so scoring stays in the JVM.
 
 Null or empty text: all statistics 0. Repeated rows and ids: each row is judged by itself. No
-or only one-sided labels: an empty list, which keeps everything. Columns besides the id and
-the text are not read, so they may have any name.
+or only one-sided labels: an empty list, which keeps everything. Several labels of one id: the least counts. Of tests with equal
+gain the first statistic in ``COUNTS`` and ``RATIOS`` wins, of rules that fit the first. An empty table gives no rows.
+Columns besides the id and the text are not read, so they may have any name. A text is held whole in one
+task, at some 45 bytes for each of its bytes.
 """
 
 from __future__ import annotations
