@@ -1,6 +1,8 @@
+import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tidemark.llm import near_dedup as N
@@ -71,3 +73,51 @@ def test_signature_keys_agree_as_sets_do(n):
     k1, s1 = N.signatures(np.concatenate([x, x]), np.array([n, n]), counts, N.POSTED)
     assert (k1[0] == k1[1]).all() and (s1[0] == s1[1]).all()
     assert N.agreements(s1[:1], s1[1:])[0] == N.K
+
+
+def family(n, rate, seed=3):
+    """Rows of n texts that each change some share of one text's 300 words."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(900)}" for _ in range(300)]
+    return [(i, " ".join(f"x{i}y{j}" if r.random() < rate(i) else w for j, w in enumerate(base))) for i in range(n)]
+
+
+def test_parities_never_leave_out_a_link():
+    r = np.random.default_rng(2)
+    for size in (1, 12, 400, 6000):
+        a = r.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64)
+        for changed in range(0, size // 8 + 1, size // 40 + 1):
+            b = np.concatenate([a[changed:], r.integers(0, 2**63, changed, dtype=np.int64).astype(np.uint64)])
+            two = N.parities(np.concatenate([a, b]), np.array([size, size]))
+            assert np.bitwise_count(two[0] ^ two[1]).sum(dtype=np.int64) <= 2 * changed
+            both = size - changed
+            assert (2 * changed <= N.most(2 * size, 80)) == (100 * both >= 80 * (2 * size - both))
+
+
+@pytest.mark.parametrize("short", [2, 128])
+@pytest.mark.parametrize("within", [True, False])
+def test_across_is_every_pair(short, within, monkeypatch):
+    monkeypatch.setattr(N, "SHORT", short)
+    r = np.random.default_rng(4)
+    n = 90
+    group, label, own = np.sort(r.integers(0, 6, n)), r.integers(0, 20, n), r.integers(0, 2, n)
+    part = lambda k: np.where(r.random((n, k)) < 0.1, r.integers(0, 2**63, k).astype(np.uint64), np.uint64(7))
+    sketch, odd, size = part(2), part(16), r.integers(300, 400, n)
+    rows = N.Rows(np.arange(n), size, sketch, 80, np.ascontiguousarray(odd.T))
+    want = set()
+    for a, b in combinations(range(n), 2):
+        if group[a] == group[b] and label[a] != label[b] and (within or own[a] != own[b]):
+            near = 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and N.agreements(sketch[a : a + 1], sketch[b : b + 1])[0] >= N.SKETCH_AGREE
+            if near and 180 * np.bitwise_count(odd[a] ^ odd[b]).sum(dtype=np.int64) <= 20 * (size[a] + size[b]):
+                want.add((a, b))
+    a, b = rows.across(group, label, own, np.full(n, within))
+    assert len(want) > 20 and sorted(map(tuple, np.sort(np.stack([a, b], 1)).tolist())) == sorted(want)
+
+
+def test_a_group_of_unlike_copies_is_not_confirmed_pair_by_pair(spark, monkeypatch):
+    rows = family(120, lambda i: 0.01 if i % 3 == 0 else 0.09)
+    asked, confirmed = [], N.confirmed
+    monkeypatch.setattr(N, "confirmed", lambda pairs, *a, **k: asked.append(pairs.count()) or confirmed(pairs, *a, **k))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df) == sorted(brute(rows), key=repr)
+    assert sum(asked) < 3000  # of 7,140

@@ -20,7 +20,10 @@ the first of those left takes its own, and so on, in blocks of ``BLOCK`` that sh
 first class. Once these pairs are confirmed and joined to components, the lists in which a pair
 went untested (some class was taken by a leader) and that still hold several components are gone through
 again for pairs of different components: a big group of copies gives about one pair
-for each copy, and yet no two components that a link joins stay apart. A list of more than
+for each copy, and yet no two components that a link joins stay apart. There a class has the parities of
+its shingles in ``ODD_BITS`` buckets besides. Two sets differ in at least as many shingles as these differ in
+bits, so pairs that differ in too many to overlap by the threshold are left out with certainty: members of a
+big group that are alike, but not enough, meet in number as its square, and few of them reach their texts. A list of more than
 ``BLOCK`` classes is first split by a second and a third shared coordinate: documents that
 agree in AGREE share two of their POSTED - AGREE + 2 rarest pairs, three of the next prefix, and so on. Only lists of
 classes that share three of their rarest pairs and are still too long meet block by block.
@@ -45,8 +48,8 @@ from . import shared
 from . import textkit as tk
 from .components import components
 
-K, POSTED, AGREE, SHINGLE, THRESHOLD, BLOCK, COUNT_BITS, SEEN_BITS = 64, 40, 15, 2, 80, 2048, 18, 22
-SKETCH_AGREE, DEPTH = 33, 2
+K, POSTED, AGREE, SHINGLE, THRESHOLD, BLOCK, COUNT_BITS, SEEN_BITS, ODD_BITS = 64, 40, 15, 2, 80, 2048, 18, 22, 1024
+SKETCH_AGREE, DEPTH, SHORT = 33, 2, 128
 PREFIX = POSTED - AGREE + 1
 _rng = np.random.Generator(np.random.PCG64(104729))
 A = _rng.integers(0, 2**63, K, dtype=np.int64).astype(np.uint64) * tk.U64(2) + tk.U64(1)
@@ -104,6 +107,17 @@ def signatures(x: np.ndarray, size: np.ndarray, counts: np.ndarray, keep: int) -
     return np.take_along_axis(key, by, 1), sketch
 
 
+def parities(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each bucket that a set's mixed shingles ``x`` fall in, whether their number is odd; ``ODD_BITS`` / 8 bytes a set."""
+    at, ends = (x >> tk.U64(65 - ODD_BITS.bit_length())).astype(np.int64), np.cumsum(size)
+    out = np.zeros((len(size), ODD_BITS // 8), np.uint8)
+    for lo in range(0, len(size), 256):
+        own = size[lo : lo + 256]
+        many = np.bincount(np.repeat(np.arange(len(own)) * ODD_BITS, own) + at[ends[lo] - own[0] : ends[lo + len(own) - 1]], minlength=len(own) * ODD_BITS)
+        out[lo : lo + 256] = np.packbits((many & 1).astype(bool).reshape(-1, ODD_BITS), axis=1)
+    return out
+
+
 def _sign(counts: np.ndarray, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,14 +125,17 @@ def _sign(counts: np.ndarray, keep: int):
                 x, size, words = sets(buf, offs)
                 n = hi - lo
                 h1, h2, keys, sk = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, keep), np.uint64), np.zeros((n, 2), np.uint64)
+                odd = np.zeros((n, ODD_BITS // 8), np.uint8)
                 some = np.flatnonzero(size)
                 if len(some):
                     first = (np.cumsum(size) - size)[some]
-                    h1[some], h2[some] = np.add.reduceat(tk.mix(x), first), np.add.reduceat(tk.mix(x ^ tk.U64(0x5DEECE66D)), first)
+                    mixed = tk.mix(x)
+                    odd = parities(mixed, size)
+                    h1[some], h2[some] = np.add.reduceat(mixed, first), np.add.reduceat(tk.mix(x ^ tk.U64(0x5DEECE66D)), first)
                     keys[some], sk[some] = signatures(x, size[some], counts, keep)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c[lo:hi] for c in b.columns[:3]), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sk[:, 0].copy().view(np.int64)), pa.array(sk[:, 1].copy().view(np.int64)), tk.list_array(pa.array(keys.view(np.int64).ravel()), np.full(n, keep))],
-                    ["id", "row", "row2", "n", "h1", "h2", "s1", "s2", "keys"],
+                    [*(c[lo:hi] for c in b.columns[:3]), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sk[:, 0].copy().view(np.int64)), pa.array(sk[:, 1].copy().view(np.int64)), tk.list_array(pa.array(keys.view(np.int64).ravel()), np.full(n, keep)), pa.array([o.tobytes() for o in odd], pa.binary())],
+                    ["id", "row", "row2", "n", "h1", "h2", "s1", "s2", "keys", "odd"],
                 )
 
     return run
@@ -126,22 +143,35 @@ def _sign(counts: np.ndarray, keep: int):
 
 def agreements(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """In how many coordinates the sketches of two arrays agree, row by row."""
-    x = s ^ t
-    x = (x | (x >> tk.U64(1))) & tk.U64(0x5555555555555555)
-    return K - np.bitwise_count(x).sum(1).astype(np.int64)
+    out = np.full(len(t), K, np.int64)
+    for i in range(s.shape[1]):
+        x = s[:, i] ^ t[:, i]
+        out -= np.bitwise_count((x | (x >> tk.U64(1))) & tk.U64(0x5555555555555555))
+    return out
+
+
+def most(both: np.ndarray, threshold: int) -> np.ndarray:
+    """In how many shingles two sets that overlap enough differ at most, given the sum of their sizes."""
+    return both * (100 - threshold) // (100 + threshold)
 
 
 class Rows:
-    """Classes of lists, list by list: class number, set size, sketch and, in the second round, component."""
+    """Classes of lists, list by list: class number, set size, sketch and, in the second round, component and parities (a row for each long)."""
 
-    def __init__(self, row: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: int) -> None:
-        self.row, self.n, self.sketch, self.threshold = row, n, sketch, threshold
+    def __init__(self, row: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: int, odd: np.ndarray | None = None) -> None:
+        self.row, self.n, self.sketch, self.threshold, self.odd = row, n, sketch, threshold, odd
 
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n, m = self.n[a], self.n[b]
         ok = 100 * np.minimum(n, m) >= self.threshold * np.maximum(n, m)
         at = np.flatnonzero(ok)
         ok[at] = agreements(self.sketch[a[at]], self.sketch[b[at]]) >= SKETCH_AGREE
+        if self.odd is not None:
+            at = np.flatnonzero(ok)
+            p, q, differ = a[at], b[at], np.zeros(len(at), np.uint16)
+            for longs in self.odd:
+                differ += np.bitwise_count(longs[p] ^ longs[q])
+            ok[at] = differ <= most(n[at] + m[at], self.threshold)
         return ok
 
     def led(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +192,12 @@ class Rows:
 
     def across(self, group: np.ndarray, label: np.ndarray, own: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of places in one list that differ in component, and in block where the list isn't ``within`` one, and agree."""
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        many = np.diff(np.append(first, len(group)))
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        at = np.arange(len(group))
-        for step in range(1, len(group)):
+        # short lists go through a step together, long ones place by place
+        at = np.flatnonzero(np.repeat(many, many) <= SHORT)
+        for step in range(1, SHORT):
             at = at[: np.searchsorted(at, len(group) - step)]
             at = at[group[at] == group[at + step]]
             if not len(at):
@@ -172,8 +205,23 @@ class Rows:
             two = at[(label[at] != label[at + step]) & (within[at] | (own[at] != own[at + step]))]
             hit = two[self.agree(two, two + step)]
             out.append((hit, hit + step))
+        for lo, hi in ((f, f + m) for f, m in zip(first, many, strict=True) if m > SHORT):
+            by = lo + np.argsort(own[lo:hi], kind="stable")
+            part = Rows(self.row[by], self.n[by], self.sketch[by], self.threshold, self.odd[:, by])
+            label_, other, whole = label[by], int((own[by] == own[by[0]]).sum()), within[lo]
+            for i in range(hi - lo - 1 if whole else other if other < hi - lo else 0):
+                j = (i + 1 if whole else other) + part.agreeing(i, i + 1 if whole else other, label_)
+                out.append((np.repeat(by[i], len(j)), by[j]))
         return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (np.zeros(0, np.int64),) * 2
 
+    def agreeing(self, i: int, lo: int, label: np.ndarray) -> np.ndarray:
+        """The places from ``lo`` on, less ``lo``, that differ from place i in component, and agree with it."""
+        n, m, t = self.n[i], self.n[lo:], self.threshold
+        ok = (label[lo:] != label[i]) & (100 * m >= t * n) & (t * m <= 100 * n)
+        ok &= agreements(self.sketch[i : i + 1], self.sketch[lo:]) >= SKETCH_AGREE
+        differ = np.bitwise_count(self.odd[:, lo:] ^ self.odd[:, i : i + 1]).sum(0, dtype=np.uint16)
+        return np.flatnonzero(ok & (differ <= most(n + m, t)))
+
 
 PAIR, LATER, EDGE = 0, 1, 2
 
@@ -248,17 +296,17 @@ def _stream(threshold: int, block: int):
 
 
 def _again(threshold: int):
-    """Pairs of different components in sorted lists (key, i, j, row, label, n, s1, s2, own) of 2 * BLOCK classes at most."""
+    """Pairs of different components in sorted lists (key, i, j, row, label, n, s1, s2, own, odd) of 2 * BLOCK classes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 9), np.int64)
+        held, held_odd = np.zeros((0, 9), np.int64), np.zeros((0, ODD_BITS // 64), np.uint64)
 
-        def work(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def work(c: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(c):
                 return
             new = np.ones(len(c), bool)
             new[1:] = (c[1:, :3] != c[:-1, :3]).any(1)
-            a, b = Rows(c[:, 3], c[:, 5], np.ascontiguousarray(c[:, 6:8]).view(np.uint64), threshold).across(np.cumsum(new), c[:, 4], c[:, 8], c[:, 1] == c[:, 2])
+            a, b = Rows(c[:, 3], c[:, 5], np.ascontiguousarray(c[:, 6:8]).view(np.uint64), threshold, np.ascontiguousarray(odd.T)).across(np.cumsum(new), c[:, 4], c[:, 8], c[:, 1] == c[:, 2])
             if len(a):
                 pair = np.unique(np.sort(np.stack([c[a, 3], c[b, 3]]), axis=0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
@@ -266,11 +314,12 @@ def _again(threshold: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = np.concatenate([held, np.stack([np.asarray(x).astype(np.int64) for x in batch.columns], 1)])
+            c = np.concatenate([held, np.stack([np.asarray(x).astype(np.int64) for x in batch.columns[:9]], 1)])
+            odd = np.concatenate([held_odd, np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint64).reshape(batch.num_rows, -1)])
             cut = len(c) - int((c[:, :3] == c[-1, :3]).all(1).sum())
-            held = c[cut:]
-            yield from work(c[:cut])
-        yield from work(held)
+            held, held_odd = c[cut:], odd[cut:]
+            yield from work(c[:cut], odd[:cut])
+        yield from work(held, held_odd)
 
     return run
 
@@ -343,10 +392,10 @@ def _second_round(rows: DataFrame, classes: DataFrame, threshold: int) -> tuple[
         mixed, at = shared.written(rows.join(sizes, "key"), "mixed")
         many = mixed.where(F.col("m") > BLOCK)
         last = depth == DEPTH or many.isEmpty()
-        lists = (mixed if last else mixed.where(F.col("m") <= BLOCK)).join(classes.select("cid", "n", "s1", "s2"), "cid")
+        lists = (mixed if last else mixed.where(F.col("m") <= BLOCK)).join(classes.select("cid", "n", "s1", "s2", "odd"), "cid")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         lists = lists.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        lists = lists.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("cid").alias("row"), "label", "n", "s1", "s2", "own")
+        lists = lists.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("cid").alias("row"), "label", "n", "s1", "s2", "own", "odd")
         lists = lists.repartition(shared.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
         pairs, there = shared.written(lists.mapInArrow(_again(threshold), "a long, b long").distinct(), "pairs")
         found = pairs if found is None else found.unionByName(pairs)
@@ -370,9 +419,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     both = (F.col(id_col), F.col(text_col))
     use = docs.select(F.col(id_col).alias("id"), F.xxhash64(*both).alias("row"), F.hash(*both).alias("row2"), F.col(text_col).alias("text"))
     counts = shingle_counts(use, "text")
-    signed, _ = shared.written(use.mapInArrow(_sign(counts, PREFIX + DEPTH), f"id {kind}, row long, row2 int, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>"), "signed")
+    signed, _ = shared.written(use.mapInArrow(_sign(counts, PREFIX + DEPTH), f"id {kind}, row long, row2 int, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>, odd binary"), "signed")
     by = ["h1", "h2", "n"]
-    one = F.min(F.struct("row", "row2", "s1", "s2", "keys"))
+    one = F.min(F.struct("row", "row2", "s1", "s2", "keys", "odd"))
     made = signed.where("n > 0").groupBy(*by).agg(F.min("id").alias("id"), one.alias("x")).select(*by, "id", "x.*").withColumn("cid", F.monotonically_increasing_id())
     classes, at_classes = shared.written(made, "classes")  # numbered as written
     posted = classes.select(F.explode(F.slice("keys", 1, PREFIX)).alias("key"), F.col("cid").alias("row"), "n", "s1", "s2")
