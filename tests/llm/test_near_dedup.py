@@ -121,3 +121,21 @@ def test_a_group_of_unlike_copies_is_not_confirmed_pair_by_pair(spark, monkeypat
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(df) == sorted(brute(rows), key=repr)
     assert sum(asked) < 3000  # of 7,140
+
+
+def test_only_lists_of_unlike_classes_are_split(spark):
+    like = [(1, i, [1, *range(10, 36)]) for i in range(30)]
+    unlike = [(2, 100 + i, [2, *range(1000 * i + 2000, 1000 * i + 2026)]) for i in range(30)]
+    many = spark.createDataFrame([(k, c, 30, [k]) for k, c, _ in like + unlike], "key long, cid long, m long, used array<long>")
+    classes = spark.createDataFrame([(c, x) for _, c, x in like + unlike], "cid long, keys array<long>")
+    assert [r["key"] for r in N._splitting(many, classes, N.PREFIX + 1).collect()] == [2]
+
+
+def test_a_long_list_of_one_group_is_not_split(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rows = family(50, lambda i: 0.01 if i % 3 == 0 else 0.07)
+    names, written = [], N.shared.written
+    monkeypatch.setattr(N.shared, "written", lambda df, name: names.append(name) or written(df, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df) == sorted(brute(rows), key=repr)
+    assert "mixed" in names and "refined" not in names

@@ -24,9 +24,11 @@ for each copy, and yet no two components that a link joins stay apart. There a c
 its shingles in ``ODD_BITS`` buckets besides. Two sets differ in at least as many shingles as these differ in
 bits, so pairs that differ in too many to overlap by the threshold are left out with certainty: members of a
 big group that are alike, but not enough, meet in number as its square, and few of them reach their texts. A list of more than
-``BLOCK`` classes is first split by a second and a third shared coordinate: documents that
-agree in AGREE share two of their POSTED - AGREE + 2 rarest pairs, three of the next prefix, and so on. Only lists of
-classes that share three of their rarest pairs and are still too long meet block by block.
+``WIDE`` * ``BLOCK`` classes is first split by a second and a third shared coordinate: documents that
+agree in AGREE share two of their POSTED - AGREE + 2 rarest pairs, three of the next prefix, and so on. That is done
+where two classes of the list share less than one other of these pairs on average; in a list of one big group, where they share most, a
+split would have each two meet again for each pair that they share. Such lists, and those of
+classes that share three of their rarest pairs and are still too long, meet block by block.
 
 Null or wordless text: the set is empty and links with nothing. Rows of one id are judged by
 their texts; ``component_id`` is the least id reachable (null only where all ids are). Ties need no order:
@@ -49,7 +51,7 @@ from . import textkit as tk
 from .components import components
 
 K, POSTED, AGREE, SHINGLE, THRESHOLD, BLOCK, COUNT_BITS, SEEN_BITS, ODD_BITS = 64, 40, 15, 2, 80, 2048, 18, 22, 1024
-SKETCH_AGREE, DEPTH, SHORT = 33, 2, 128
+SKETCH_AGREE, DEPTH, SHORT, WIDE, SAMPLE = 33, 2, 128, 4, 512
 PREFIX = POSTED - AGREE + 1
 _rng = np.random.Generator(np.random.PCG64(104729))
 A = _rng.integers(0, 2**63, K, dtype=np.int64).astype(np.uint64) * tk.U64(2) + tk.U64(1)
@@ -296,7 +298,7 @@ def _stream(threshold: int, block: int):
 
 
 def _again(threshold: int):
-    """Pairs of different components in sorted lists (key, i, j, row, label, n, s1, s2, own, odd) of 2 * BLOCK classes at most."""
+    """Pairs of different components in sorted lists (key, i, j, row, label, n, s1, s2, own, odd) of 2 * WIDE * BLOCK classes or so at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_odd = np.zeros((0, 9), np.int64), np.zeros((0, ODD_BITS // 64), np.uint64)
@@ -382,6 +384,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     return out
 
 
+def _splitting(many: DataFrame, classes: DataFrame, keys: int) -> DataFrame:
+    """Of the lists ``many`` the keys of those that a further coordinate makes cheaper: two classes share less than one other of ``keys`` pairs on average, by a sample of some ``SAMPLE`` classes of each list."""
+    some = many.where(F.pmod(F.xxhash64("cid", F.lit(11)), F.ceil(F.col("m") / SAMPLE)) == 0)
+    others = some.join(classes.select("cid", F.slice("keys", 1, keys).alias("keys")), "cid").select("key", F.explode(F.array_except("keys", "used")).alias("one"))
+    met = others.groupBy("key", "one").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("met"))
+    size = some.groupBy("key").agg(F.count("*").alias("s"))
+    return size.join(met, "key", "left").where(F.coalesce("met", F.lit(0)) < F.col("s") * (F.col("s") - 1)).select("key")
+
+
 def _second_round(rows: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, list[str]]:
     """Pairs (a, b) of different components in the lists of ``rows`` (key, cid, label), and the folders that they are read from."""
     spark = rows.sparkSession
@@ -390,10 +401,11 @@ def _second_round(rows: DataFrame, classes: DataFrame, threshold: int) -> tuple[
     for depth in range(DEPTH + 1):
         sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "m")
         mixed, at = shared.written(rows.join(sizes, "key"), "mixed")
-        many = mixed.where(F.col("m") > BLOCK)
-        last = depth == DEPTH or many.isEmpty()
-        lists = (mixed if last else mixed.where(F.col("m") <= BLOCK)).join(classes.select("cid", "n", "s1", "s2", "odd"), "cid")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        keys = PREFIX + 1 + depth
+        split, at_split = shared.written(_splitting(mixed.where(F.col("m") > WIDE * BLOCK), classes, keys), "split") if depth < DEPTH else (None, None)
+        last = split is None or split.isEmpty()
+        lists = (mixed if last else mixed.join(split, "key", "left_anti")).join(classes.select("cid", "n", "s1", "s2", "odd"), "cid")
+        blocks = F.ceil(F.col("m") / (WIDE * BLOCK)).cast("int")
         lists = lists.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         lists = lists.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("cid").alias("row"), "label", "n", "s1", "s2", "own", "odd")
         lists = lists.repartition(shared.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
@@ -401,14 +413,14 @@ def _second_round(rows: DataFrame, classes: DataFrame, threshold: int) -> tuple[
         found = pairs if found is None else found.unionByName(pairs)
         folders.append(there)
         if last:
-            shared.remove(spark, at)
+            shared.remove(spark, at, *([at_split] if at_split else []))
             return found.distinct(), folders
         # a class joins, in place of a list too long, the lists of that and one more of its rarest pairs
-        more = many.join(classes.select("cid", F.slice("keys", 1, PREFIX + 1 + depth).alias("keys")), "cid")
+        more = mixed.join(split, "key").join(classes.select("cid", F.slice("keys", 1, keys).alias("keys")), "cid")
         more = more.select("cid", "label", "used", F.explode(F.array_except("keys", "used")).alias("one")).withColumn("used", F.array_sort(F.concat("used", F.array("one"))))
         rows, there = shared.written(more.select(F.xxhash64("used").alias("key"), "cid", "label", "used").distinct(), "refined")
         folders.append(there)
-        shared.remove(spark, at)
+        shared.remove(spark, at, at_split)
     raise AssertionError
 
 
