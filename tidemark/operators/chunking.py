@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from . import common
 from .code_index import LANGUAGES
 
 _CUTS = tuple("\n\n|\n|. | ".split("|"))
@@ -99,6 +100,7 @@ def chunk(docs: DataFrame, how: Column | str = "recursive", size: int = config.C
     """(doc_id, seq from 0, text, heading) of stripped, non-empty chunks. ``how``: a strategy, or a column of strategies."""
     if overlap >= size:
         raise ValueError("the overlap must be less than the chunk size")
+    common.small_batches(docs.sparkSession)
     strategy = F.lit(how) if isinstance(how, str) else how
     got = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(_arrays(size, overlap)(F.col(text_col), strategy)))
     return got.select("doc_id", F.col("pos").cast("long").alias("seq"), "col.text", "col.heading")
@@ -108,6 +110,7 @@ def with_context(chunks: DataFrame, docs: DataFrame, context: Callable[[str, str
     """Contextual enrichment: documents of two chunks and more get a context for each chunk from ``context`` (document, chunk); none offline or on failure."""
     if context is None:
         return chunks.withColumn("context", F.lit(None).cast("string"))
+    common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def run(doc: pd.Series, text: pd.Series) -> pd.Series:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import common
 
 LANGUAGES = {
     "python": ["py"], "javascript": ["js", "jsx"], "typescript": ["ts", "tsx"], "go": ["go"], "rust": ["rs"], "java": ["java"], "kotlin": ["kt"], "ruby": ["rb"], "php": ["php"],
@@ -87,6 +88,7 @@ def parsed(source: Column, lang: Column) -> Column:
 
 def files(sources: DataFrame) -> DataFrame:
     """(file, language, file_hash, test, imports, symbols) of (file, text) rows in a known language and of at most ``MAX_BYTES``."""
+    common.small_batches(sources.sparkSession)
     rows = sources.withColumn("language", language(F.col("file"))).where(F.col("language").isNotNull() & (F.octet_length("text") <= MAX_BYTES))
     got = rows.withColumn("p", parsed(F.col("text"), F.col("language")))
     return got.select("file", "language", T.hash16(F.col("text")).alias("file_hash"), T.test_file(F.col("file")).alias("test"), "p.imports", "p.symbols")
